@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm.decontaminate import benchmark_overlap
 from lexloom.llm.language_id import identify
+from lexloom.llm.ngram_join import ngram_join
+from lexloom.llm.oracles import OP1, OP3
 from lexloom.llm.pii import personal_data
 from lexloom.llm.quality import quality_rules
 from lexloom.llm.secret_scan import secret_scan
@@ -18,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -43,8 +49,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language, op3_decontamination, op4_secrets, op5_quality, op7_toxicity, op9_pii)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language, op3_decontamination, op4_secrets, op5_quality, op7_toxicity, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_join": OP1, "op3_decontamination": OP3}
