@@ -37,3 +37,16 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+OP10 = """
+WITH n AS (SELECT coalesce(source, 'null') AS s, count(*) AS c FROM documents GROUP BY 1),
+r AS (SELECT s, 1.0::DOUBLE / (SELECT count(*) FROM n) * (SELECT sum(c) FROM n) / c AS rate FROM n),
+k AS (SELECT s, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM r),
+p AS (SELECT s, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1.0))) OVER (PARTITION BY s ORDER BY k) AS c FROM k),
+d AS (SELECT *, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+m AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM p WHERE p.s = coalesce(d.source, 'null') AND p.c <= d.u) AS copies FROM d),
+e AS (SELECT * EXCLUDE (copies), unnest(range(1, copies + 1)) AS copy_no FROM m)
+SELECT doc_id, text, lang, source, n_chars, copy_no::INTEGER AS copy_no,
+  ('0x' || substr(md5('18:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
+FROM e
+"""

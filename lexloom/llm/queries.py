@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm.decontaminate import benchmark_overlap
 from lexloom.llm.language_id import identify
+from lexloom.llm.license_scan import license_scan
+from lexloom.llm.line_dedup import line_dedup
+from lexloom.llm.mixing import mix
 from lexloom.llm.ngram_join import ngram_join
-from lexloom.llm.oracles import OP1, OP3
+from lexloom.llm.oracles import OP1, OP3, OP10
 from lexloom.llm.pii import personal_data
 from lexloom.llm.quality import quality_rules
 from lexloom.llm.secret_scan import secret_scan
@@ -40,17 +43,29 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_before", "lines_gone")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_language, op3_decontamination, op4_secrets, op5_quality, op7_toxicity, op9_pii)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language, op3_decontamination, op4_secrets, op5_quality, op6_licenses, op7_toxicity, op8_line_dedup, op9_pii, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1, "op3_decontamination": OP3}
+    return {"op1_ngram_join": OP1, "op3_decontamination": OP3, "op10_mixing": OP10}
