@@ -87,6 +87,8 @@ class Bands:
         top = [x - 1 for x in self.low[1:]]
         # |A|+|B|-2i <= (|A|+|B|)(1-t)/(1+t)
         self.differ = [(a + b) * (den - num) // (den + num) for a, b in pairwise(top)]
+        # blocks hold about (den + num) / (den - num) * 0.36 shingles: where that is many, small ones can be left out
+        self.full = max(1, min(3, (den + num) // (7 * (den - num))))
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.low_array, n, "right")) - 1
@@ -95,7 +97,7 @@ class Bands:
 def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     """Keys of a set: hashes of what its blocks hold, for its own level and the one below.
 
-    A level has spare blocks beyond the pigeonhole's, so that keys of blocks with fewer than three shingles, which many
+    A level has spare blocks beyond the pigeonhole's. So keys of blocks with fewer than ``bands.full`` shingles, which many
     unrelated sets share, are only needed for sets that have more such blocks than there are spare ones.
     """
     out, band = [], bands.of(len(s))
@@ -103,19 +105,19 @@ def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         d = bands.differ[level] if level >= 0 else 0
         if d == 0:  # only equal sets link: they are one node already
             continue
-        spare = 1 + d // 16
+        spare = 1 + d // 8
         blocks = d + 1 + spare
-        place = ((s & _U(0xFFFFFFFF)) * _U(blocks)) >> _U(32)
+        place = (((s & _U(0xFFFFFFFF)) * _U(blocks)) >> _U(32)).astype(np.int64)
         order = np.argsort(place, kind="stable")
-        count = np.bincount(place.astype(np.int64), minlength=blocks)
+        count = np.bincount(place, minlength=blocks)
         first = np.cumsum(count) - count
         with np.errstate(over="ignore"):
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s[order] ^ _U(0xD1B54A32D192ED03)), dtype=np.uint64)))
             held = total[first + count] - total[first]
             key = mix(held * _U(_BASE) + _U(level << 32) + np.arange(blocks, dtype=np.uint64))
-        full = count >= 3
+        full = count >= bands.full
         out.append(key[full] if (~full).sum() <= spare else key)
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def fingerprint(s: np.ndarray) -> int | None:
@@ -147,7 +149,7 @@ class RTree:
             return [rows]
         spread = np.ptp(points[rows], axis=0)
         rows = rows[np.argsort(points[rows, spread.argmax()], kind="stable")]
-        half = -(-(len(rows) // leaf + 1) // 2) * leaf
+        half = -(-len(rows) // leaf) // 2 * leaf
         return [*self._pack(points, rows[:half], leaf), *self._pack(points, rows[half:], leaf)]
 
     def candidates(self, other: RTree | None, num: int, den: int):
@@ -204,19 +206,81 @@ def links_in(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> li
     return out
 
 
-def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, chunk_rows: int = 1500, chunk_shingles: int = 1_000_000) -> DataFrame:
+def key_stars(docs: DataFrame, width: int, bands: Bands, buckets: int, flush_keys: int = 4_000_000) -> DataFrame:
+    """(a, b): each node that shares a key, with the least node that has the key; enough to connect all that share keys.
+
+    Keys travel as packed arrays by bucket. Each task first joins what shares a key within itself and sends a key once,
+    so that a key which very many documents have costs an entry for each task.
+    """
+
+    def packed(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("stars", pa.binary())])
+        keys, nodes, held = [], [], 0
+
+        def flush():
+            k = np.concatenate([*keys, np.zeros(0, np.uint64)])
+            f = np.repeat(np.array([n for n, _ in nodes], np.int64), [c for _, c in nodes])
+            k, f, stars = combine(k, f)
+            place = ((k >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
+            cut_at = np.searchsorted(place, np.arange(buckets + 1))
+            some = np.flatnonzero(cut_at[1:] > cut_at[:-1]).tolist()
+            rows = [(i, k[cut_at[i] : cut_at[i + 1]].tobytes(), f[cut_at[i] : cut_at[i + 1]].tobytes()) for i in some]
+            if rows:
+                # the task's own stars go along, spread over the buckets
+                shares = np.array_split(stars, len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([x.tobytes() for x in shares], pa.binary())], schema=schema)
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                s = shingles(text, width)
+                if len(s) and len(got := block_keys(s, bands)):
+                    keys.append(got)
+                    nodes.append((fingerprint(s), len(got)))
+                    held += len(got)
+                if held >= flush_keys:
+                    yield from flush()
+                    keys, nodes, held = [], [], 0
+        yield from flush()
+
+    def met(table):
+        import pyarrow as pa
+
+        k = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()])
+        f = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("nodes").to_pylist()])
+        own = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("stars").to_pylist()]).reshape(-1, 2)
+        stars = np.unique(np.concatenate((own, combine(k, f)[2])), axis=0)
+        return pa.table({"a": stars[:, 0], "b": stars[:, 1]})
+
+    blobs = docs.select("text").mapInArrow(packed, "bucket int, keys binary, nodes binary, stars binary")
+    return blobs.groupBy("bucket").applyInArrow(met, "a long, b long").distinct()
+
+
+def combine(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, sorted, with its least node; and the stars [node, least node] of the others."""
+    order = np.lexsort((f, k))
+    k, f = k[order], f[order]
+    new = np.concatenate(([True], k[1:] != k[:-1]))[: len(k)]
+    low = f[new][np.cumsum(new) - 1] if len(k) else f
+    other = f != low
+    return k[new], f[new], np.unique(np.stack((f[other], low[other]), axis=1), axis=0)
+
+
+def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, chunk_rows: int = 1500, chunk_shingles: int = 1_000_000, bucket_chars: int = 8_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``; sets link when Jaccard >= ``num/den``.
 
     Null and empty texts have the empty set, link with nothing, and are their own component. Rows with equal sets are in
     one component. Repeated rows come out repeated. A null id is in its group, but is never the smallest id unless alone.
     ``chunk_rows`` and ``chunk_shingles``: what a task holds of a bundle at a time; more is dealt as pairs of chunks.
+    ``bucket_chars``: text for each bucket of keys, so that a bucket fits a task.
     """
     kind, bands = docs.schema["doc_id"].dataType.simpleString(), Bands(num, den)
 
-    def keyed():
+    def measured():
         def apply(cols):
             sets = [shingles(t, width) for t in cols["text"].to_pylist()]
-            return {"doc_id": cols["doc_id"], "fp": [fingerprint(s) for s in sets], "n_shingles": [len(s) for s in sets], "keys": [block_keys(s, bands) for s in sets]}
+            return {"doc_id": cols["doc_id"], "fp": [fingerprint(s) for s in sets], "n_shingles": [len(s) for s in sets]}
 
         return apply
 
@@ -227,10 +291,9 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, c
 
         return apply
 
-    nodes = written(map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, fp long, n_shingles long, keys array<long>", keyed), "join-keys")
-    rows = nodes.where("fp is not null").select("fp", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("key", "low")
-    stars = rows.join(shared, "key").where("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
+    nodes = written(map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, fp long, n_shingles long", measured), "join-nodes")
+    chars = nodes.agg(F.sum("n_shingles")).first()[0] or 0
+    stars = key_stars(docs, width, bands, max(16, -(-6 * chars // bucket_chars)))
     bundles = cut(components(stars).withColumnRenamed("node", "fp").withColumnRenamed("component", "bundle"))
 
     # one document of each node in a bundle gives its set
