@@ -16,7 +16,7 @@ def new_files(spark: SparkSession, folder: str, schema: str, files_a_trigger: in
 
 def windowed_counts(events: DataFrame, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Counts and sums by event type and window; rows later than ``late`` behind the newest are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("started"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("started"), "event_type", "n", "total")
 
 
 def spans_of_new_documents(docs: DataFrame, out: str, checkpoint: str, rules=GENERIC_RULES) -> StreamingQuery:
