@@ -39,7 +39,7 @@ SPELLED_WORDS = frozenset(SPELLED)
 BREAKS = str.maketrans(",-", "  ")
 _DOT = r"(?:\.| ?[\[({<] ?(?:dot|punkt|point|punto|\.) ?[\])}>] ?| (?:DOT|dot) )"
 #: A bracketed "at" before any domain; a bare one only before a domain whose dot is spelled, else it is a word.
-AT = re.compile(rf"(?<=[A-Za-z0-9])(?: ?[\[({{<] ?(?:at|arroba|@) ?[\])}}>] ?(?=[A-Za-z0-9-]+{_DOT}[A-Za-z0-9])| (?:AT|at) (?=[A-Za-z0-9-]+ (?:DOT|dot) [A-Za-z0-9]))")
+AT = re.compile(rf"(?<=[A-Za-z0-9])(?: ?[\[({{<] ?(?:at|arroba|@) ?[\])}}>] ?(?=[A-Za-z0-9-]+{_DOT}[A-Za-z0-9])| (?:AT|at) (?!(?:the|an?|this|that|my|our|your|his|her|its|their) )(?=[A-Za-z0-9-]+ (?:DOT|dot) [A-Za-z0-9]))")
 DOT = re.compile(r"(?<=[A-Za-z0-9])(?: ?[\[({<] ?(?:dot|punkt|point|punto|\.) ?[\])}>] ?| (?:DOT|dot) )(?=[A-Za-z0-9])")
 #: A text without any of these needs no second look; each disguise has one of them.
 HINT = re.compile(r"[\[({<] ?(?:at|arroba|@) ?[\])}>]| (?:AT|at) [A-Za-z0-9-]+ (?:DOT|dot) ")

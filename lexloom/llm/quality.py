@@ -17,7 +17,7 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("x_length", "x_word", "x_symbol", "x_repeat", "x_lines", "x_case", "x_digit", "x_mark")
 #: Least spread of each feature: below it, differences don't count as outlying.
-FLOORS = (0.35, 0.06, 0.05, 0.2, 0.3, 0.05, 0.1, 0.05)
+FLOORS = (0.25, 0.04, 0.03, 0.2, 0.3, 0.03, 0.08, 0.03)
 #: Characters (words, lines) added to a share's denominator, so that a short text's shares tell less.
 PRIOR = {"word_chars": 200, "n_words": 30, "n_lines": 5}
 #: Squared-distance bins for the distributed quantiles: 32 for each doubling.
@@ -148,14 +148,14 @@ def outliers(
     stats: DataFrame,
     support: float = 0.75,
     steps: int = 4,
-    cutoff: float = 100.0,
+    cutoff: float = 50.0,
     min_rows: int = 200,
 ) -> DataFrame:
     """``stats`` with ``distance`` (squared, scaled by the group's median) and ``outlier``.
 
     ``support``: share of a group's rows on which centre and scatter are concentrated. ``steps``: concentration steps.
-    ``cutoff``: squared distance above which a row is an outlier; the scatter is scaled so that the median squared
-    distance is the chi-square median. Groups of fewer than ``min_rows`` rows use the estimates of all rows. Rows of
+    ``cutoff``: squared distance above which a row is an outlier; the scatter is scaled up so that the median squared
+    distance is the chi-square median, but never down, as the floors are spreads that don't matter. Groups of fewer than ``min_rows`` rows use the estimates of all rows. Rows of
     documents without words are left out of the estimates and are never outliers here (the base rule rejects them).
     A null language or source forms a group of its own.
     """
@@ -186,7 +186,7 @@ def outliers(
     scaled = join_small(fit, model, keys).select(*keys, _bin(_distance()).alias("bin"))
     half = _quantile(scaled, keys, 0.5).select(*keys, F.pow(2.0, (F.col("bin") + 0.5) / BINS).alias("median"))
     chi_median = p * (1 - 2 / (9 * p)) ** 3
-    model = written(model.join(half, keys).select(*keys, "centre", "factor", F.greatest(F.col("median") / chi_median, F.lit(0.05)).alias("scale")), "quality-model")
+    model = written(model.join(half, keys).select(*keys, "centre", "factor", F.greatest(F.col("median") / chi_median, F.lit(1.0)).alias("scale")), "quality-model")
     if has_small:
         rows = join_small(rows, small, keys, "left").withColumns({k: F.when(F.col("is_small"), F.lit("\x01")).otherwise(F.col(k)) for k in keys}).drop("is_small")
     rated = join_small(rows, model, keys, "left").withColumn("distance", _distance() / F.col("scale"))
