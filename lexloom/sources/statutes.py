@@ -153,3 +153,15 @@ def fetch_since(*_: object) -> DataFrame:
 
 def item_value(title: str) -> Column:
     return kanji_to_int(title)
+
+
+def parse_laws(df: DataFrame, column: str = "xml") -> DataFrame:
+    """Rows as ``read_laws`` gives them from an XML text column and ``law_id``."""
+    return df.select("law_id", F.from_xml(column, LAW_SCHEMA).alias("x")).select("x.*", "law_id")
+
+
+def hybrid_source(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with what the edge table knows of them: mentions made and received."""
+    made = edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("made"))
+    received = edges.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("received"))
+    return rows.join(made, "node_id", "left").join(received, "node_id", "left").fillna(0, ["made", "received"])
