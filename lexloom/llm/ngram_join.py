@@ -3,8 +3,9 @@
 Every document is the set of its distinct word shingles. Shingles are hashed into groups, and a document's counts by
 group are a point; two sets share at most the sum of the points' coordinate minima. Steps, each a Spark job:
 
-1. Each set gets a fingerprint (equal sets are one node) and, by pigeonhole, keys: two sets that link differ in at most
-   d shingles, so of more than d blocks of the hash range some hold the same shingles in both.
+1. Each set gets a fingerprint (equal sets are one node) and keys by pigeonhole: two sets that link differ in at most
+   d shingles, so of more than d blocks of the hash range some hold the same shingles in both. For lower thresholds,
+   where such blocks are too small, larger ones are used, so many that a link is missed once in 1e9 times.
 2. Nodes that share a key belong to one bundle (connected components). Links never leave a bundle.
 3. In a bundle, an R-tree over the points yields the pairs whose bound allows a link; pairs not yet connected are verified
    on the sets. A bundle too large for a task is dealt to tasks as pairs of chunks, so that no pair is left out.
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import components, cut, join_small, map_batches, written
+from lexloom.llm.common import Scratch, components, cut, join_small, map_batches, written
 
 GROUPS = 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -87,20 +88,30 @@ class Bands:
         top = [x - 1 for x in self.low[1:]]
         # |A|+|B|-2i <= (|A|+|B|)(1-t)/(1+t)
         self.differ = [(a + b) * (den - num) // (den + num) for a, b in pairwise(top)]
-        # blocks hold about (den + num) / (den - num) * 0.36 shingles: where that is many, small ones can be left out
-        self.full = max(1, min(3, (den + num) // (7 * (den - num))))
+        # for lower thresholds the pigeonhole's blocks hold too few shingles to tell sets apart: see random_keys
+        self.trials = 0
+        if 36 * (den + num) < 600 * (den - num):
+            if 2 * num <= den:
+                raise ValueError("the threshold must be over one half")
+            untouched = 0.85 * np.exp(-8 * (den - num) / (den + num) * (1 + den / num))
+            self.trials = int(np.ceil(21 / -np.log1p(-untouched)))
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.low_array, n, "right")) - 1
 
 
 def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of a set: hashes of what its blocks hold, for its own level and the one below.
+    """Keys of a set: hashes of what its blocks hold. Sets that link share a key (see also ``random_keys``).
 
-    A level has spare blocks beyond the pigeonhole's. So keys of blocks with fewer than ``bands.full`` shingles, which many
-    unrelated sets share, are only needed for sets that have more such blocks than there are spare ones.
+    Blocks are those of the set's own level and the one below, more of them than linked sets can differ in. A level has
+    spare blocks beyond the pigeonhole's, so that keys of blocks with fewer than three shingles, which many unrelated sets
+    share, are only needed for sets that have more such blocks than there are spare ones.
     """
+    if bands.trials:
+        return random_keys(s, bands)
     out, band = [], bands.of(len(s))
+    with np.errstate(over="ignore"):
+        hashed = mix(s ^ _U(0xD1B54A32D192ED03))
     for level in (band, band - 1):
         d = bands.differ[level] if level >= 0 else 0
         if d == 0:  # only equal sets link: they are one node already
@@ -108,18 +119,48 @@ def block_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         spare = 1 + d // 8
         blocks = d + 1 + spare
         place = (((s & _U(0xFFFFFFFF)) * _U(blocks)) >> _U(32)).astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        count = np.bincount(place, minlength=blocks)
-        first = np.cumsum(count) - count
-        with np.errstate(over="ignore"):
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s[order] ^ _U(0xD1B54A32D192ED03)), dtype=np.uint64)))
-            held = total[first + count] - total[first]
-            key = mix(held * _U(_BASE) + _U(level << 32) + np.arange(blocks, dtype=np.uint64))
-        full = count >= bands.full
-        out.append(key[full] if (~full).sum() <= spare else key)
+        key, count = _held(place, hashed, blocks, level)
+        out.append(key[count >= 3] if (count < 3).sum() <= spare else key)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def random_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
+    """Keys by several independent divisions into blocks of four to eight shingles, for thresholds under about 0.88.
+
+    Levels are powers of two. At the threshold a block is untouched by the difference of two linked sets, and holds
+    enough, with a probability that ``Bands`` works out; there are so many blocks that a link is missed with a probability
+    under 1e-9 (and sooner falls to a collision of 64-bit hashes in a large corpus). Blocks of fewer than three shingles,
+    in tiny sets of none, give no key.
+    """
+    n, out = len(s), []
+    if not n:
+        return np.zeros(0, np.uint64)
+    own = n.bit_length() - 1
+    for level in (own, own - 1):
+        if level < 0 or (level < own and n * bands.num >= (1 << own) * bands.den):
+            continue
+        blocks = max(2, (1 << level) // 4)
+        rounds = -(-bands.trials // blocks)
+        with np.errstate(over="ignore"):
+            seeds = mix(np.arange(1, rounds + 1, dtype=np.uint64) * _U(_BASE))
+            hashed = mix(s[None, :] ^ seeds[:, None])
+            place = (((hashed & _U(0xFFFFFFFF)) * _U(blocks)) >> _U(32)).astype(np.int64) + np.arange(rounds)[:, None] * blocks
+        key, count = _held(place.ravel(), hashed.ravel(), blocks * rounds, level)
+        out.append(key[count >= (3 if level >= 3 else 1)])
+    return np.concatenate(out)
+
+
+def _held(place: np.ndarray, hashed: np.ndarray, blocks: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key and number of shingles of each block."""
+    order = np.argsort(place, kind="stable")
+    count = np.bincount(place, minlength=blocks)
+    first = np.cumsum(count) - count
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashed[order], dtype=np.uint64)))
+        held = total[first + count] - total[first]
+        return mix(held * _U(_BASE) + _U(level << 32) + np.arange(blocks, dtype=np.uint64)), count
+
+
 def fingerprint(s: np.ndarray) -> int | None:
     """64 bits that stand for the set; None for the empty set."""
     if not len(s):
@@ -206,11 +247,12 @@ def links_in(sets: list[np.ndarray], side: np.ndarray, num: int, den: int) -> li
     return out
 
 
-def key_stars(docs: DataFrame, width: int, bands: Bands, buckets: int, flush_keys: int = 4_000_000) -> DataFrame:
+def key_stars(docs: DataFrame, width: int, bands: Bands, buckets: int, flush_keys: int = 2_000_000) -> DataFrame:
     """(a, b): each node that shares a key, with the least node that has the key; enough to connect all that share keys.
 
     Keys travel as packed arrays by bucket. Each task first joins what shares a key within itself and sends a key once,
-    so that a key which very many documents have costs an entry for each task.
+    so that a key which very many documents have costs an entry for each task. Of keys and nodes 48 bits travel: should
+    two agree by chance, more is taken together than has to be, and nothing is lost.
     """
 
     def packed(batches):
@@ -220,13 +262,13 @@ def key_stars(docs: DataFrame, width: int, bands: Bands, buckets: int, flush_key
         keys, nodes, held = [], [], 0
 
         def flush():
-            k = np.concatenate([*keys, np.zeros(0, np.uint64)])
-            f = np.repeat(np.array([n for n, _ in nodes], np.int64), [c for _, c in nodes])
+            k = np.concatenate([*keys, np.zeros(0, np.uint64)]) >> _U(16) << _U(16)
+            f = np.repeat(np.array([n for n, _ in nodes], np.int64) & SHORT, [c for _, c in nodes])
             k, f, stars = combine(k, f)
             place = ((k >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
             cut_at = np.searchsorted(place, np.arange(buckets + 1))
             some = np.flatnonzero(cut_at[1:] > cut_at[:-1]).tolist()
-            rows = [(i, k[cut_at[i] : cut_at[i + 1]].tobytes(), f[cut_at[i] : cut_at[i + 1]].tobytes()) for i in some]
+            rows = [(i, pack(k[cut_at[i] : cut_at[i + 1]] >> _U(16)), pack(f[cut_at[i] : cut_at[i + 1]].view(np.uint64))) for i in some]
             if rows:
                 # the task's own stars go along, spread over the buckets
                 shares = np.array_split(stars, len(rows))
@@ -247,8 +289,8 @@ def key_stars(docs: DataFrame, width: int, bands: Bands, buckets: int, flush_key
     def met(table):
         import pyarrow as pa
 
-        k = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()])
-        f = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("nodes").to_pylist()])
+        k = np.concatenate([unpack(b) for b in table.column("keys").to_pylist()])
+        f = np.concatenate([unpack(b) for b in table.column("nodes").to_pylist()]).view(np.int64)
         own = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("stars").to_pylist()]).reshape(-1, 2)
         stars = np.unique(np.concatenate((own, combine(k, f)[2])), axis=0)
         return pa.table({"a": stars[:, 0], "b": stars[:, 1]})
@@ -257,6 +299,20 @@ def key_stars(docs: DataFrame, width: int, bands: Bands, buckets: int, flush_key
     return blobs.groupBy("bucket").applyInArrow(met, "a long, b long").distinct()
 
 
+SHORT = (1 << 48) - 1
+
+
+def pack(x: np.ndarray) -> bytes:
+    """The low 48 bits of each number."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def combine(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each key once, sorted, with its least node; and the stars [node, least node] of the others."""
     order = np.lexsort((f, k))
@@ -291,17 +347,20 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, c
 
         return apply
 
-    nodes = written(map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, fp long, n_shingles long", measured), "join-nodes")
+    scratch = Scratch(docs.sparkSession)
+    nodes = scratch.write(map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, fp long, n_shingles long", measured), "join-nodes")
     chars = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     stars = key_stars(docs, width, bands, max(16, -(-6 * chars // bucket_chars)))
-    bundles = cut(components(stars).withColumnRenamed("node", "fp").withColumnRenamed("component", "bundle"))
+    bundles = cut(components(stars).withColumnRenamed("node", "short").withColumnRenamed("component", "bundle"))
+    short = F.col("fp").bitwiseAND(F.lit(SHORT)).alias("short")
 
     # one document of each node in a bundle gives its set
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("row_name")
-    members = join_small(nodes.where("fp is not null").select("doc_id", "fp"), bundles.select("fp"), ["fp"], "left_semi", 500_000)
+    members = join_small(nodes.where("fp is not null").select("doc_id", "fp", short), bundles.select("short"), ["short"], "left_semi", 500_000)
     givers = cut(members.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select(name("doc_id")).distinct())
     texts = join_small(docs.select(name("doc_id"), "text"), givers, ["row_name"], "left_semi", 500_000)
-    sets = written(map_batches(texts.select("text"), "fp long, n long, shingles binary", stored).where("fp is not null").join(bundles, "fp"), "join-sets").dropDuplicates(["fp"])
+    sets = map_batches(texts.select("text"), "fp long, n long, shingles binary", stored).where("fp is not null").withColumn("short", short)
+    sets = scratch.write(sets.join(bundles, "short").drop("short").dropDuplicates(["fp"]), "join-sets")
 
     weight = sets.groupBy("bundle").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
     parts = weight.where("rows > 1").select("bundle", F.greatest(F.ceil(F.col("rows") / chunk_rows), F.ceil(F.col("total") / chunk_shingles)).cast("int").alias("parts"))
@@ -316,15 +375,17 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, c
         pairs = links_in(own, side, num, den) if len(own) > 1 else []
         return pd.DataFrame({"a": [fp[i] for i, _ in pairs], "b": [fp[j] for _, j in pairs]}, dtype="int64")
 
-    # bundles of a few nodes share a task call: their number is the number of small groups of copies
     links = dealt.groupBy("bundle", "c1", "c2").applyInPandas(linked, "a long, b long")
     groups = components(links)
     classes = nodes.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked_only = groups.select(F.col("node").alias("fp"), "component").join(smallest, "component").select("fp", "component_id")
+    members = classes.join(groups.select(F.col("node").alias("fp"), "component"), "fp")
+    smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked_only = members.join(smallest, "component").select("fp", "component_id")
     every = classes.join(linked_only, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return nodes.select("doc_id", "fp", "n_shingles").join(every, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    found = nodes.join(every, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    result = written(found, "join-result")
+    scratch.drop()
+    return result
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import crc_bucket, map_batches
+from lexloom.llm.common import crc_bucket, join_small, map_batches
 
 BITS = 20
 #: Marks stripped from words' ends (fixed values).
@@ -107,7 +107,7 @@ def _sampled(df: DataFrame, most: int, seed: int) -> list[np.ndarray]:
     return [np.frombuffer(r["ids"], np.int32) for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["ids"]))]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 12000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 9000) -> Model:
     """Fit on documents outside the held-out fold (crc32 of the id modulo 5 is 0), at most so many of each kind.
 
     The class prior is the share of toxic rows among all labelled rows outside that fold.
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_un
     share = known.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("p")).first()
     prior = min(max((share["p"] or 0) / max(share["n"], 1), 1e-3), 0.5)
     texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", 5) != 0)).select("doc_id", "text")
-    toxic = texts.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    toxic = join_small(texts, known.where("toxic = 1").select("doc_id"), ["doc_id"], "left_semi", 500_000)
     return fit(_sampled(toxic, most_positive, 1), _sampled(texts, most_unlabelled, 2), prior)
 
 
