@@ -175,3 +175,23 @@ def test_simhash_counts_as_by_hand(spark):
 def test_edit_similarity_threshold(spark):
     df = spark.createDataFrame([("abcdefghij", "abcdefghxy"), ("abcdefghij", "abcdefgxyz"), ("a", "a")], "a string, b string")
     assert [r[0] for r in df.select(F.coalesce(ld.alike("a", "b", 0.8, 1000), F.lit(False))).collect()] == [True, False, True]
+
+
+def test_line_dedup_finds_what_all_pairs_find(spark):
+    """Recall against edit similarity alone: short and long lines, short words, a script without blanks, either side of 1000."""
+    rng = random.Random(12)
+    short = [a + b for a in "bcdfglmnprst" for b in ("a", "e", "io", "u")]
+    long_words = [a + b + c for a in short for b in ("nd", "rt") for c in ("a", "ish")]
+    docs, near = [], 0
+    for i in range(120):
+        kind = i % 4
+        n = rng.choice((6, 9, 14, 30, 60)) if kind < 2 else rng.randrange(150, 260) if kind == 2 else 24
+        w = [rng.choice(short if kind == 0 else long_words) if kind < 3 else chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)]
+        v = list(w)
+        for j in rng.sample(range(n), max(1, n // 10)):
+            v[j] = rng.choice(short) if kind < 3 else chr(rng.randrange(0x4E00, 0x9000))
+        join = "".join if kind == 3 else " ".join
+        docs += [(2 * i, join(w)), (2 * i + 1, join(v))]
+        near += 1
+    gone = ld.line_dedup(frame(spark, docs)).where("lines_gone > 0").count()
+    assert gone >= 0.95 * near
