@@ -6,10 +6,15 @@ uniform number, whose Poisson inverse is the number of copies; the copies are th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import join_small
+from lexloom.llm.common import join_small, map_batches
+
+#: Copies of a row are exploded in blocks of so many.
+BLOCK = 10_000
 
 
 def uniform(seed: int, *parts: str | Column) -> Column:
@@ -18,22 +23,34 @@ def uniform(seed: int, *parts: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def cumulative(rate: str) -> Column:
-    """P(X <= k) for k = 0, 1, ... as an array, up to twelve deviations beyond the mean; for rates up to some hundreds."""
-    top = F.ceil(F.col(rate) + 12 * F.sqrt(rate) + 30).cast("int")
-    step = lambda acc, k: F.struct(
-        (acc["p"] * F.col(rate) / k).alias("p"),
-        F.concat(acc["all"], F.array(acc["all"][F.size(acc["all"]) - 1] + acc["p"] * F.col(rate) / k)).alias("all"),
-    )
-    start = F.struct(F.exp(-F.col(rate)).alias("p"), F.array(F.exp(-F.col(rate))).alias("all"))
-    return F.aggregate(F.sequence(F.lit(1), top), start, step)["all"]
+def cumulative(rate: float) -> tuple[int, list[float]]:
+    """k0 and P(X <= k) for k = k0, k0 + 1, ... up to twelve deviations beyond the mean; P(X < k0) is 0 to a double.
+
+    Rates up to 500 start from k0 = 0. Above, exp(-rate) would vanish: the first term comes from logarithms, and the sum
+    of all is set to 1, which takes out their rounding.
+    """
+    least = 0 if rate <= 500 else math.floor(rate - 12 * math.sqrt(rate) - 30)
+    p = math.exp(least * math.log(rate) - rate - math.lgamma(least + 1)) if least else math.exp(-rate)
+    cdf = [p]
+    for k in range(least + 1, math.ceil(rate + 12 * math.sqrt(rate) + 30) + 1):
+        p = p * rate / k
+        cdf.append(cdf[-1] + p)
+    return least, [c / cdf[-1] for c in cdf] if least else cdf
+
+
+def _cumulative():
+    def apply(cols):
+        found = [cumulative(r) for r in cols["rate"].to_pylist()]
+        return {"mix_source": cols["mix_source"], "rate": cols["rate"], "cdf_from": [f[0] for f in found], "cdf": [f[1] for f in found]}
+
+    return apply
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
-    """(source, rate, cdf) by source. ``weights`` default to equal ones; sources that it doesn't name get none.
+    """(source, rate, cdf_from, cdf) by source. ``weights`` default to equal ones; sources that it doesn't name get none.
 
     ``total``: rows wanted in all, by default as many as there are. A null source is a source of its own, named "null"
-    in ``weights``. Rates above 500 are refused: the inverse would lose precision.
+    in ``weights``. Any rate will do: ``cdf`` holds some 24 roots of the rate, from ``cdf_from`` copies on.
     """
     sizes = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("null")).alias("mix_source")).agg(F.count("*").alias("rows"))
     if weights is None:
@@ -43,11 +60,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float
         weighed = sizes.join(F.broadcast(given), "mix_source", "left").fillna(0.0, ["weight"])
     sums = weighed.agg(F.sum("weight").alias("w"), F.sum("rows").alias("n")).first()
     if not sums["n"] or not sums["w"]:
-        return weighed.select("mix_source", F.lit(0.0).alias("rate"), F.array(F.lit(1.0)).alias("cdf"))
+        return weighed.select("mix_source", F.lit(0.0).alias("rate"), F.lit(0).alias("cdf_from"), F.array(F.lit(1.0)).alias("cdf"))
     wanted = float(total if total is not None else sums["n"])
     rated = weighed.select("mix_source", (F.col("weight") / F.lit(float(sums["w"])) * F.lit(wanted) / F.col("rows")).alias("rate"))
-    checked = rated.withColumn("rate", F.when(F.col("rate") <= 500, F.col("rate")).otherwise(F.raise_error(F.lit("a source would be repeated more than 500 times on average"))))
-    return checked.withColumn("cdf", cumulative("rate"))
+    return map_batches(rated, "mix_source string, rate double, cdf_from int, cdf array<double>", _cumulative)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 17) -> DataFrame:
@@ -61,6 +77,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     # sources are few; should they be many, the join is shuffled and its skew split by adaptive execution
     joined = join_small(keyed, found, ["mix_source"])
     u = uniform(seed, "doc_id")
-    copies = F.size(F.filter("cdf", lambda c: c <= u))
-    many = joined.withColumn("mix_copies", copies).where("mix_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("copy_no"))
+    copies = F.col("cdf_from") + F.size(F.filter("cdf", lambda c: c <= u))
+    # in two steps, so that no array grows with the number of copies
+    block = F.explode(F.sequence(F.lit(1), F.col("mix_copies"), F.lit(BLOCK))).alias("mix_block")
+    blocks = joined.withColumn("mix_copies", copies).where("mix_copies > 0").select(*docs.columns, "mix_copies", block)
+    many = blocks.select(*docs.columns, F.explode(F.sequence(F.col("mix_block"), F.least(F.col("mix_copies"), F.col("mix_block") + (BLOCK - 1)))).alias("copy_no"))
     return many.withColumn("shuffle_key", uniform(seed + 1, "doc_id", "copy_no")).orderBy("shuffle_key", "doc_id", "copy_no")

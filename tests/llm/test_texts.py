@@ -1,6 +1,7 @@
 """Operators on single texts against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -231,3 +232,13 @@ def test_mixing_weights(spark):
     assert mixing.mix(docs, {"null": 1.0}, total=1).where("source is not null").count() == 0
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(awkward(spark)).columns == [*awkward(spark).columns, "copy_no", "shuffle_key"]
+
+
+def test_mixing_of_a_rare_source(spark):
+    docs = frame(spark, [(i, "t", "en", "a") for i in range(50_000)] + [(90_001, "t", "en", None)])
+    got = mixing.mix(docs).where("source is null").agg({"copy_no": "max", "*": "count"}).first()
+    rate = 50_001 / 2
+    u, below, k = int(hashlib.md5(b"17:90001").hexdigest()[:13], 16) / 2**52, 0.0, 0
+    while (below := below + math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))) <= u:
+        k += 1
+    assert tuple(got) == (k, k) and k > mixing.BLOCK
