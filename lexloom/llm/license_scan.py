@@ -56,8 +56,13 @@ RULES = (
 )
 _PATTERNS = [(name, re.compile(p)) for name, p in SENTENCES]
 #: Each licence sentence holds one of these words; text without them is not cut into sentences.
-HINT = re.compile(r"licen[sc]e|permission|redistribut|warrant|public domain|rights reserved|copyright notice", re.I)
-#: A sentence ends at a line's end, or at . ! ? ; before a blank; a point between digits ends none.
+HINT = re.compile(r"licen[sc]e|permission|redistribut|warrant|public[\W_]+domain|rights[\W_]+reserved|copyright[\W_]+notice|names[\W_]+of[\W_]+its", re.I)
+#: Known sentences begin with one of these words.
+BEGIN = re.compile(r"(?:this|licensed|released|distributed|you|unless|permission|the|redistributions?|neither|all|[123])\b")
+#: What a comment puts before its lines: marks, and the words of some languages.
+PREFIX = re.compile(r"[ \t]*(?:(?:[^\w\s(\"'\[<]+|rem|dnl)(?=\s|\Z)[ \t]*)?", re.I)
+WORD = re.compile(r"[^\W_]")
+#: A piece ends at a line's end, or at . ! ? ; before a blank; a point between digits ends none.
 SENTENCE = re.compile(r"[^\n.!?;]*(?:[.!?;](?!\s|\Z)[^\n.!?;]*)*(?:[.!?;]|\n|\Z)")
 
 
@@ -66,19 +71,53 @@ def normalised(sentence: str) -> str:
     return " ".join(re.findall(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+", sentence.lower()))
 
 
+def known(pieces: list[tuple[int, int, str]]) -> list[tuple[int, int, str, str]]:
+    """Known sentences among ``pieces`` (start, end, text by line) of one run without a full stop.
+
+    A sentence may start and end at any line's end, as titles and list heads have no mark. From each line on, the longest
+    is taken; a line after which no known sentence begins, however long, costs one look.
+    """
+    norms, out, i = [normalised(p[2]) for p in pieces], [], 0
+    while i < len(pieces):
+        step = 1
+        if BEGIN.match(norms[i]):
+            whole = " ".join(norms[i:])
+            likely = [(name, pattern) for name, pattern in _PATTERNS if pattern.match(whole)]
+            for j in range(len(pieces), i, -1) if likely else ():
+                norm = " ".join(norms[i:j])
+                if found := next(((name, got) for name, pattern in likely if (got := pattern.fullmatch(norm))), None):
+                    version = (found[1].groupdict().get("v") or "").replace(" ", "-").upper()
+                    out.append((pieces[i][0], pieces[j - 1][1], found[0], version))
+                    step = j - i
+                    break
+        i += step
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, identifier, version) of every known sentence; only lines with a hint are looked at."""
-    out, line_start = [], 0
+    """(start, end, identifier, version) of every known sentence, which may be wrapped over lines and stand in comments.
+
+    Sentences end at a mark, or at a line without words. Only runs of lines with a hint are looked at.
+    """
+    out, run, line_start = [], [], 0
+
+    def close() -> None:
+        if run and HINT.search(text, run[0][0], run[-1][1]):
+            out.extend(known(run))
+        run.clear()
+
     for line in text.split("\n"):
-        if HINT.search(line):
-            for m in SENTENCE.finditer(line):
-                norm = normalised(m[0])
-                for name, pattern in _PATTERNS if norm else ():
-                    if got := pattern.fullmatch(norm):
-                        version = (got.groupdict().get("v") or "").replace(" ", "-").upper()
-                        out.append((line_start + m.start(), line_start + m.end(), name, version))
-                        break
+        begin = PREFIX.match(line).end()
+        if not WORD.search(line, begin):
+            close()
+        else:
+            for m in SENTENCE.finditer(line, begin):
+                if WORD.search(m[0]):
+                    run.append((line_start + (m.start() if m.start() > begin else 0), line_start + m.end(), m[0]))
+                    if m[0][-1] in ".!?;":
+                        close()
         line_start += len(line) + 1
+    close()
     return out
 
 

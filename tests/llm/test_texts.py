@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -221,6 +222,26 @@ def test_licenses(spark):
     assert texts[0][1][a:b] == "This work is licensed under the GNU General Public License, version 3." and name == "gpl_notice"
 
 
+WRAPPED = {
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.',
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice in the documentation.\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "GPL-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of FITNESS.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see elsewhere.",
+}
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// ", ";; "])
+@pytest.mark.parametrize("width", [40, 72])
+def test_wrapped_licenses(prefix, width):
+    for name, text in WRAPPED.items():
+        lines = ["Copyright (c) 2020 Someone", ""] + [y for x in text.split("\n") for y in (textwrap.wrap(x, width) or [""])] + ["", "int x;"]
+        whole = "\n".join((prefix + x).rstrip() for x in lines)
+        found = license_scan.sentences(whole)
+        assert license_scan.licenses(found) == [name], (name, found)
+        flat = license_scan.normalised(text)
+        assert all(license_scan.normalised(whole[a:b]) in flat for a, b, _, _ in found)
+
+
 def test_mixing_weights(spark):
     rng = random.Random(5)
     docs = frame(spark, [(i, "t", "en", "abc"[min(rng.randrange(10) // 4, 2)]) for i in range(6000)] + [(9001, None, "en", None)])
