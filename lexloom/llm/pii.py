@@ -37,12 +37,16 @@ _ONE = "|".join(sorted(SPELLED, key=len, reverse=True))
 SPELLED_RUN = re.compile(rf"\b(?:plus[ -]+)?(?:{_ONE})(?:[ ,-]+(?:{_ONE})){{3,}}\b", re.I)
 SPELLED_WORDS = frozenset(SPELLED)
 BREAKS = str.maketrans(",-", "  ")
-_DOT = r"(?:\.| ?[\[({<] ?(?:dot|punkt|point|punto|\.) ?[\])}>] ?| (?:DOT|dot) )"
+_IN_BRACKETS = r" ?[\[({<] ?(?:dot|punkt|point|punto|\.) ?[\])}>] ?"
+_DOT = rf"(?:\.|{_IN_BRACKETS}| dot )"
 #: A bracketed "at" before any domain; a bare one only before a domain whose dot is spelled, else it is a word.
-AT = re.compile(rf"(?<=[A-Za-z0-9])(?: ?[\[({{<] ?(?:at|arroba|@) ?[\])}}>] ?(?=[A-Za-z0-9-]+{_DOT}[A-Za-z0-9])| (?:AT|at) (?!(?:the|an?|this|that|my|our|your|his|her|its|their) )(?=[A-Za-z0-9-]+ (?:DOT|dot) [A-Za-z0-9]))")
-DOT = re.compile(r"(?<=[A-Za-z0-9])(?: ?[\[({<] ?(?:dot|punkt|point|punto|\.) ?[\])}>] ?| (?:DOT|dot) )(?=[A-Za-z0-9])")
-#: A text without any of these needs no second look; each disguise has one of them.
-HINT = re.compile(r"[\[({<] ?(?:at|arroba|@) ?[\])}>]| (?:AT|at) [A-Za-z0-9-]+ (?:DOT|dot) ")
+AT = re.compile(rf"(?<=[A-Za-z0-9])(?: ?[\[({{<] ?(?:at|arroba|@) ?[\])}}>] ?(?=[A-Za-z0-9-]+{_DOT}[A-Za-z0-9])| at (?!(?:the|an?|this|that|my|our|your|his|her|its|their) )(?=[A-Za-z0-9-]+(?: dot |{_IN_BRACKETS})[A-Za-z0-9]))", re.I)
+DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_IN_BRACKETS}| dot )(?=[A-Za-z0-9])", re.I)
+#: Four numbers of up to three spelled or written digits with dots, spelled or not, between them.
+_NUMBER = rf"(?:(?:{_ONE})(?:[ -]+(?:{_ONE})){{0,2}}|[0-9]{{1,3}})"
+SPELLED_IP = re.compile(rf"(?<![\w.]){_NUMBER}(?:(?:\.|{_IN_BRACKETS}| (?:dot|punkt|point|punto) ){_NUMBER}){{3}}(?!\w)", re.I)
+#: A text without any of these needs no second look but for odd characters and spelled digits; each at and dot disguise has one of them.
+HINT = re.compile(r"[\[({<] ?(?:at|arroba|@|dot|punkt|point|punto|\.) ?[\])}>]| (?:dot|punkt|point|punto) ", re.I)
 ODD = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "！-～​-‍⁠﻿]")
 ZERO_WIDTH = frozenset("​‌‍⁠﻿")
 
@@ -119,21 +123,28 @@ def digits_of(run: str) -> str:
     return "".join("+" if w == "plus" else SPELLED[w] for w in words)
 
 
+def ip_of(run: str) -> str:
+    return "".join("." if w in ("dot", "punkt", "point", "punto", ".") else SPELLED.get(w, w) for w in re.findall(r"[^\W\d_]+|[0-9]+|\.", run.lower()))
+
+
 def hidden_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans, in source offsets, that the fixed patterns find only once disguises are undone."""
     odd, at = ODD.search(text), HINT.search(text)
     spelled = sum(map(SPELLED_WORDS.__contains__, text.lower().translate(BREAKS).split())) >= 4
-    if not (odd or spelled or at):
+    # digits may touch the dots, so an address in spelled digits is looked for with its own pattern
+    address = SPELLED_IP.search(text) if at or text.count(".") >= 3 else None
+    if not (odd or spelled or at or address):
         return []
     tape = Tape(text)
     if odd:
         tape.rewrite(ODD, lambda m: plain(m[0]))
+    if address or odd:
+        tape.rewrite(SPELLED_IP, lambda m: ip_of(m[0]))
     if spelled:
         tape.rewrite(SPELLED_RUN, lambda m: digits_of(m[0]))
     if at or odd:
         tape.rewrite(AT, lambda m: "@")
-        if "@" in tape.text:
-            tape.rewrite(DOT, lambda m: ".")
+        tape.rewrite(DOT, lambda m: ".")
     return [(k, *tape.source(a, b)) for k, a, b in base_spans(tape.text)] if tape.text != text else []
 
 

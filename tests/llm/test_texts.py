@@ -87,6 +87,14 @@ def test_known_digests_and_words_are_no_secrets():
     assert secret_scan.token_spans("x aG7kQ2mZx9TpLw4RsV1b y", encode, 2.0)
 
 
+def test_letter_only_secrets():
+    encode = secret_scan.load_encoding(open(secret_scan.VOCABULARY, "rb").read()).encode_ordinary
+    for run in ("xQzvKjWpRtBnLmGh", "qzxjvkwpqgzxhjvkbq"):
+        assert secret_scan.token_spans(f"x {run} y", encode, 2.0) == [(2, 2 + len(run), "token")]
+    for text in ("internationalization", "----------------------", "====================", "src/main/resources/static"):
+        assert not secret_scan.token_spans(text, encode, 2.0), text
+
+
 def plain_pii(text):
     """The four patterns as they are written, one after another."""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
@@ -125,6 +133,19 @@ def test_pii_disguises(spark):
     assert [r["text"] for r in got] == ["to <email> now", None]
 
 
+def test_pii_dot_disguises():
+    cases = {
+        "john@example[.]com": "email", "john@example dot com": "email", "john@example[dot]com": "email", "john [AT] example [DOT] com": "email",
+        "John At Example Dot Com": "email", "john at mail (dot) example (dot) com": "email", "192[.]168[.]0[.]1": "ip", "192 dot 168 dot 0 dot 1": "ip",
+        "one nine two dot one six eight dot zero dot one": "ip", "One-nine-two.168.zero.one": "ip",
+    }
+    for text, kind in cases.items():
+        whole = f"see {text} now"
+        assert pii.all_spans(whole) == ([], [(kind, 4, 4 + len(text))]), (text, pii.all_spans(whole))
+    for clean in ("the point is a dot on the map", "one dot two dot three", "one point two. Three point four", "at home (point) and dot com"):
+        assert pii.all_spans(clean) == ([], []), clean
+
+
 def plain_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     hit, n = set(), len(words)
