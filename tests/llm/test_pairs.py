@@ -203,8 +203,8 @@ def test_line_dedup_compares_long_lines_by_edits(spark):
     other = list(words)
     rng.shuffle(other)
     pad = "is onhe " * 200
-    at = " ".join(words[:142])[:995].rsplit(" ", 1)[0]
-    docs = [(1, " ".join(words)), (2, " ".join(other)), (3, pad + "one text of its own"), (4, pad + "and quite another one"), (5, "x " + at), (6, "x " + at + " and some words")]
+    at = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(141))
+    docs = [(1, " ".join(words)), (2, " ".join(other)), (3, pad + "one text of its own"), (4, pad + "and quite another one"), (5, "x " + at), (6, "x " + at + " and some more words")]
     got = {r["doc_id"]: r["lines_gone"] for r in ld.line_dedup(frame(spark, docs)).collect()}
     assert len(docs[4][1]) <= 1000 < len(docs[5][1])
     assert (got[1], got[2], got[3], got[4], got[5], got[6]) == (0, 0, 0, 1, 0, 1)
