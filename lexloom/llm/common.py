@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,12 +33,17 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[dict[st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set to a local one only where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a local session (tests) gets a temporary folder of its own; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (there := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = there.get()
+    if not found and spark.sparkContext.master.startswith("local["):
+        found = tempfile.mkdtemp(prefix="checkpoints-")
     if not found:
-        found = "/tmp/checkpoints"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -67,16 +72,19 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_counted(self, df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+        """The table, and aggregates of its rows that are taken while it is written."""
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        return self.write(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name), seen.get
+
     def drop(self) -> None:
-        """Delete the tables, and let the driver collect what it no longer needs, so that Spark frees shuffle files."""
+        """Delete the tables."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
             there = jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(conf).delete(there, True)
         self.paths = []
-        gc.collect()
-        jvm.System.gc()
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = 10_000) -> DataFrame:
@@ -96,34 +104,40 @@ def all_of(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def components(links: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+def free_name(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores behind it if ``docs`` has a column of that name (names differ by more than case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def components(links: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """Connected components of undirected links: (node, component), component being the least node reachable.
 
     Alternates large-star and small-star steps (each two aggregations on the node) until the edges stay the same; the
-    number of rounds grows with the logarithm of the longest path. Only nodes with links are returned. Null ends are
-    dropped, self-links and repeats make no difference. Raises if ``max_rounds`` don't suffice.
+    number of rounds grows with the logarithm of the longest path, and each is one job. Only nodes with links are
+    returned. Null ends are dropped, self-links and repeats make no difference. Raises if ``max_rounds`` don't suffice.
+    The result reads a table of ``scratch`` (or else one that stays in the shared folder).
     """
+    own, keep = Scratch(links.sparkSession), scratch or Scratch(links.sparkSession)
+    mark = {"n": F.count("*"), "x": F.bit_xor(F.xxhash64("u", "v"))}
     ok = F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst))
-    edges = links.where(ok).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
-    edges = cut(edges)
-    mark = _mark(edges)
-    if mark[0] == 0:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
+    edges, last = own.write_counted(links.where(ok).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "edges", **mark)
+    for _ in range(max_rounds if last["n"] else 0):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        edges = cut(small)
-        now = _mark(edges)
-        if now == mark:
-            stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-            return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        mark = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"] or 0
+        edges, now = own.write_counted(small, "edges", **mark)
+        if now == last:
+            break
+        last = now
+    else:
+        if last["n"]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    result = keep.write(stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    own.drop()
+    return result

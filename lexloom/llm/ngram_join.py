@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import Scratch, components, cut, join_small, map_batches, written
+from lexloom.llm.common import Scratch, components, join_small, map_batches, written
 
 GROUPS = 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -351,13 +351,13 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, c
     nodes = scratch.write(map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, fp long, n_shingles long", measured), "join-nodes")
     chars = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     stars = key_stars(docs, width, bands, max(16, -(-6 * chars // bucket_chars)))
-    bundles = cut(components(stars).withColumnRenamed("node", "short").withColumnRenamed("component", "bundle"))
+    bundles = components(stars, scratch=scratch).withColumnRenamed("node", "short").withColumnRenamed("component", "bundle")
     short = F.col("fp").bitwiseAND(F.lit(SHORT)).alias("short")
 
     # one document of each node in a bundle gives its set
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("row_name")
     members = join_small(nodes.where("fp is not null").select("doc_id", "fp", short), bundles.select("short"), ["short"], "left_semi", 500_000)
-    givers = cut(members.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select(name("doc_id")).distinct())
+    givers = scratch.write(members.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select(name("doc_id")).distinct(), "join-givers")
     texts = join_small(docs.select(name("doc_id"), "text"), givers, ["row_name"], "left_semi", 500_000)
     sets = map_batches(texts.select("text"), "fp long, n long, shingles binary", stored).where("fp is not null").withColumn("short", short)
     sets = scratch.write(sets.join(bundles, "short").drop("short").dropDuplicates(["fp"]), "join-sets")
@@ -376,7 +376,7 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, c
         return pd.DataFrame({"a": [fp[i] for i, _ in pairs], "b": [fp[j] for _, j in pairs]}, dtype="int64")
 
     links = dealt.groupBy("bundle", "c1", "c2").applyInPandas(linked, "a long, b long")
-    groups = components(links)
+    groups = components(links, scratch=scratch)
     classes = nodes.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
     members = classes.join(groups.select(F.col("node").alias("fp"), "component"), "fp")
     smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from lexloom.llm import line_dedup as ld
@@ -100,11 +99,6 @@ def plain_lines(docs, similarity=0.8):
     def norm(line):
         return re.sub(r"[\s!-/:-@\[-`{-~]+", " ", line.lower()).strip()
 
-    def sim(n):
-        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in n.split(" ") if len(w) >= ld.LEAST_CHARS]
-        bits = sum(1 << b for b in range(ld.LANE * ld.LANES) if 2 * sum(x >> b & 1 for x in h) > len(h))
-        return len(h), bits
-
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -114,11 +108,10 @@ def plain_lines(docs, similarity=0.8):
         return row[-1]
 
     lines = sorted({norm(x) for _, t in docs for x in (t or "").split("\n")} - {""})
-    sims = {n: sim(n) for n in lines}
     links = []
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if min(sims[a][0], sims[b][0]) >= 5 and (sims[a][1] ^ sims[b][1]).bit_count() <= ld.MOST_BITS and distance(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 0.001):
+            if min(len(a.split()), len(b.split())) >= 5 and distance(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 0.001):
                 links.append((a, b))
     group, seen, out = groups(links, lines), set(), {}
     for i, t in sorted(docs):
@@ -165,16 +158,13 @@ def test_line_dedup_runs_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_simhash_counts_as_by_hand(spark):
-    words = ["alpha", "beta", "gamma", "delta", "alpha"]
-    got = ld.simhash(spark.createDataFrame([(1, w) for w in words], "k int, word string"), ["k"]).first()
-    h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
-    assert got["sim"] == sum(1 << b for b in range(60) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def test_edit_similarity_threshold(spark):
     df = spark.createDataFrame([("abcdefghij", "abcdefghxy"), ("abcdefghij", "abcdefgxyz"), ("a", "a")], "a string, b string")
-    assert [r[0] for r in df.select(F.coalesce(ld.alike("a", "b", 0.8, 1000), F.lit(False))).collect()] == [True, False, True]
+    coded = df.withColumns({"ca": ld.word_codes("a"), "cb": ld.word_codes("b")})
+    assert [r[0] for r in coded.select(ld.alike("a", "b", "ca", "cb", 0.8)).collect()] == [True, False, True]
+    coded = df.select(F.concat("a", F.lit(" one two three")).alias("a"), F.concat("b", F.lit(" one two three")).alias("b")).withColumns({"ca": ld.word_codes("a"), "cb": ld.word_codes("b")})
+    assert [r[0] for r in coded.select(ld.alike("a", "b", "ca", "cb", 0.8)).collect()] == [True, True, True]
+    assert [r[0] for r in coded.select(ld.alike("a", "b", "ca", "cb", 0.9)).collect()] == [True, False, True]
 
 
 def test_line_dedup_finds_what_all_pairs_find(spark):
@@ -208,3 +198,36 @@ def test_line_dedup_compares_long_lines_by_edits(spark):
     got = {r["doc_id"]: r["lines_gone"] for r in ld.line_dedup(frame(spark, docs)).collect()}
     assert len(docs[4][1]) <= 1000 < len(docs[5][1])
     assert (got[1], got[2], got[3], got[4], got[5], got[6]) == (0, 0, 0, 1, 0, 1)
+
+
+def test_line_dedup_passes_columns_of_any_name(spark):
+    names = ["gone", "lines_gone", "lines_before", "text_hash", "line", "line_no", "norm", "key", "grp", "first", "row", "row_id", "gone_id", "a.b"]
+    docs = frame(spark, [(1, "one line of quite ordinary words"), (2, "one line of quite ordinary words\nsecond"), (None, "x")])
+    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = ld.line_dedup(docs)
+    assert out.columns == [*docs.columns, "lines_before_", "lines_gone_"]
+    rows = out.collect()
+    assert all(r[n] == i for r in rows for i, n in enumerate(names))
+    assert {(r["doc_id"], r["text"], r["lines_gone_"]) for r in rows} == {(1, "one line of quite ordinary words", 0), (2, "second", 1), (None, "x", 0)}
+
+
+def test_crowded_blocks_lose_no_close_pair(spark):
+    """Many different lines with one passage in common: near copies among them are still found by longer runs."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    lines = [f"{passage} {' '.join(word() for _ in range(30))}" for _ in range(150)]
+    near = [line.rsplit(" ", 1)[0] + " " + word() for line in lines[:40]]
+    docs = list(enumerate(lines + near))
+    got = {r["doc_id"]: r["lines_gone"] for r in ld.line_dedup(frame(spark, docs)).collect()}
+    assert sum(got[i] for i in range(150)) == 0
+    assert sum(got[i] for i in range(150, 190)) >= 38
+
+
+def test_components_write_one_table(spark):
+    from lexloom.llm.common import Scratch
+
+    scratch = Scratch(spark)
+    assert components(spark.createDataFrame([], "a long, b long"), scratch=scratch).count() == 0
+    assert len(scratch.paths) == 1
+    scratch.drop()
