@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -52,17 +51,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     weights = np.zeros(1 << BITS)
     if not positive or not unlabelled:
         return Model(weights, float(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4))))
-    seen = np.bincount(np.fromiter(chain.from_iterable(positive), np.int64), minlength=1 << BITS)
-    common = np.bincount(np.fromiter(chain.from_iterable(unlabelled), np.int64), minlength=1 << BITS)
+    seen = np.bincount(np.concatenate(positive), minlength=1 << BITS)
+    common = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS)
     # words that are no likelier in a positive than in any text can't be told apart under the prior
     keep = np.flatnonzero((seen >= least_docs) & (seen / len(positive) > 2 * common / len(unlabelled)))
-    place = np.full(1 << BITS, -1)
-    place[keep] = np.arange(len(keep))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[keep] = np.arange(len(keep), dtype=np.int32)
 
     def sparse(docs):
-        got = [place[d] for d in docs]
-        got = [g[g >= 0] for g in got]
-        return np.concatenate([*got, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(got)), [len(g) for g in got])
+        got = place[np.concatenate(docs)]
+        return got[got >= 0], np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])[got >= 0]
 
     pi, pd = sparse(positive)
     ui, ud = sparse(unlabelled)
@@ -103,8 +101,9 @@ def _sampled(df: DataFrame, most: int, seed: int) -> list[np.ndarray]:
     def make():
         return lambda cols: {"ids": [word_ids(t).tobytes() for t in cols["text"].to_pylist()], "doc_id": cols["doc_id"]}
 
-    rows = map_batches(drawn.select("doc_id", "text"), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids binary", make).limit(2 * most).collect()
-    return [np.frombuffer(r["ids"], np.int32) for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["ids"]))]
+    found = map_batches(drawn.select("doc_id", "text"), f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids binary", make).limit(2 * most).toArrow()
+    ids = found.column("ids").to_pylist()
+    return [np.frombuffer(ids[i], np.int32) for i in sorted(range(len(ids)), key=list(zip(map(str, found.column("doc_id").to_pylist()), ids)).__getitem__)]
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 9000) -> Model:
