@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import join_small, map_batches
+from lexloom.llm.common import free_name, join_small, map_batches
 
 #: Copies of a row are exploded in blocks of so many.
 BLOCK = 10_000
@@ -70,16 +70,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     """``docs`` replicated and in global shuffled order, with ``copy_no`` (from 1) and ``shuffle_key`` (the order).
 
     Copies are counted from the id alone, so rows that repeat an id are replicated alike, and null ids share one number.
-    Texts, null or empty, play no part. An empty table gives an empty table.
+    Texts, null or empty, play no part. An empty table gives an empty table. Where ``docs`` has a column of a new name
+    already, it stays and the new column's name gets an underscore behind it.
     """
     found = rates(docs, weights, total)
-    keyed = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit("null")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row")
+    keyed = docs.select(whole, F.col("doc_id").alias("mix_id"), F.coalesce(F.col("source").cast("string"), F.lit("null")).alias("mix_source"))
     # sources are few; should they be many, the join is shuffled and its skew split by adaptive execution
     joined = join_small(keyed, found, ["mix_source"])
-    u = uniform(seed, "doc_id")
+    u = uniform(seed, "mix_id")
     copies = F.col("cdf_from") + F.size(F.filter("cdf", lambda c: c <= u))
     # in two steps, so that no array grows with the number of copies
     block = F.explode(F.sequence(F.lit(1), F.col("mix_copies"), F.lit(BLOCK))).alias("mix_block")
-    blocks = joined.withColumn("mix_copies", copies).where("mix_copies > 0").select(*docs.columns, "mix_copies", block)
-    many = blocks.select(*docs.columns, F.explode(F.sequence(F.col("mix_block"), F.least(F.col("mix_copies"), F.col("mix_block") + (BLOCK - 1)))).alias("copy_no"))
-    return many.withColumn("shuffle_key", uniform(seed + 1, "doc_id", "copy_no")).orderBy("shuffle_key", "doc_id", "copy_no")
+    blocks = joined.withColumn("mix_copies", copies).where("mix_copies > 0").select("mix_row", "mix_id", "mix_copies", block)
+    many = blocks.select("mix_row", "mix_id", F.explode(F.sequence(F.col("mix_block"), F.least(F.col("mix_copies"), F.col("mix_block") + (BLOCK - 1)))).alias("mix_copy"))
+    many = many.withColumn("mix_key", uniform(seed + 1, "mix_id", "mix_copy"))
+    # the key is uniform, so equal ranges of it are equal shares of the rows: no sampling run has to find their bounds
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = many.repartitionById(parts, F.least(F.floor(F.col("mix_key") * parts), F.lit(parts - 1)).cast("int")).sortWithinPartitions("mix_key", "mix_id", "mix_copy")
+    cols = [F.col(f"mix_row.`{c}`").alias(c) for c in docs.columns]
+    return ordered.select(*cols, F.col("mix_copy").alias(free_name("copy_no", docs)), F.col("mix_key").alias(free_name("shuffle_key", docs)))

@@ -18,7 +18,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import Scratch, components, join_small, map_batches, written
@@ -323,11 +323,18 @@ def combine(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return k[new], f[new], np.unique(np.stack((f[other], low[other]), axis=1), axis=0)
 
 
-def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, chunk_rows: int = 1500, chunk_shingles: int = 1_000_000, bucket_chars: int = 8_000_000) -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, **how) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``; sets link when Jaccard >= ``num/den``.
 
     Null and empty texts have the empty set, link with nothing, and are their own component. Rows with equal sets are in
     one component. Repeated rows come out repeated. A null id is in its group, but is never the smallest id unless alone.
+    """
+    return joined(docs, width, num, den, **how).select("doc_id", "n_shingles", "component_id")
+
+
+def joined(docs: DataFrame, width: int, num: int, den: int, chunk_rows: int = 1500, chunk_shingles: int = 1_000_000, bucket_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``ngram_join`` with ``text_hash``, and ``component``, which tells components of equal ids apart.
+
     ``chunk_rows`` and ``chunk_shingles``: what a task holds of a bundle at a time; more is dealt as pairs of chunks.
     ``bucket_chars``: text for each bucket of keys, so that a bucket fits a task.
     """
@@ -336,7 +343,7 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, c
     def measured():
         def apply(cols):
             sets = [shingles(t, width) for t in cols["text"].to_pylist()]
-            return {"doc_id": cols["doc_id"], "fp": [fingerprint(s) for s in sets], "n_shingles": [len(s) for s in sets]}
+            return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "fp": [fingerprint(s) for s in sets], "n_shingles": [len(s) for s in sets]}
 
         return apply
 
@@ -348,7 +355,7 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, c
         return apply
 
     scratch = Scratch(docs.sparkSession)
-    nodes = scratch.write(map_batches(docs.select("doc_id", "text"), f"doc_id {kind}, fp long, n_shingles long", measured), "join-nodes")
+    nodes = scratch.write(map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), f"doc_id {kind}, text_hash long, fp long, n_shingles long", measured), "join-nodes")
     chars = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     stars = key_stars(docs, width, bands, max(16, -(-6 * chars // bucket_chars)))
     bundles = components(stars, scratch=scratch).withColumnRenamed("node", "short").withColumnRenamed("component", "bundle")
@@ -380,18 +387,32 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, c
     classes = nodes.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
     members = classes.join(groups.select(F.col("node").alias("fp"), "component"), "fp")
     smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked_only = members.join(smallest, "component").select("fp", "component_id")
-    every = classes.join(linked_only, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    found = nodes.join(every, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    result = written(found, "join-result")
+    linked_only = members.join(smallest, "component").select("fp", "component_id", "component")
+    every = classes.join(linked_only, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "fp").alias("component"))
+    own = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    result = written(nodes.join(every, "fp", "left").select("doc_id", "text_hash", "n_shingles", own, "component"), "join-result")
     scratch.drop()
     return result
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, all columns as they are.
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, **how) -> DataFrame:
+    """The first row of each component of ``docs``, all columns as they are.
 
-    Rows that share id and text count as one row. Empty and null texts have no links and stay.
+    The first is the row of the least id (a null id is the last of all); of rows that share it, a hash of the text decides,
+    and of rows of equal id and text one stays. Empty and null texts have no links: all rows with them stay.
     """
-    found = ngram_join(docs, **how).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNull()).unionByName(docs.join(found, "doc_id", "left_semi")) if "doc_id" in docs.columns else docs
+    found = joined(docs, width, num, den, **how).where("component is not null")
+    rows = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    place = lambda: F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = rows.groupBy("component").agg(F.min(place()).alias("first"))
+    scratch = Scratch(docs.sparkSession)
+    rated = scratch.write(rows.join(first, "component").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash"), "n", (place() == F.col("first")).alias("stays")), "join-rated")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("keep_row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_hash"))
+    same = F.col("row_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash"))
+    out = whole.join(rated.where("not stays"), same, "left_anti")
+    repeated = rated.where("stays and n > 1")
+    if not repeated.isEmpty():
+        order = Window.partitionBy("row_id", "row_hash").orderBy(F.lit(1))
+        one = out.join(repeated, same, "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+        out = out.join(repeated, same, "left_anti").unionByName(one)
+    return out.select(*[F.col(f"keep_row.`{c}`").alias(c) for c in docs.columns])

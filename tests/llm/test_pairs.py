@@ -72,7 +72,10 @@ def test_join_awkward(spark):
     assert ngram_join(awkward(spark).limit(0)).count() == 0
     kept = keep_one(awkward(spark))
     assert kept.columns == awkward(spark).columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "5", "6", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6"]
+    rows = [(None, "q w e r t y u"), (3, "q w e r t y u"), (3, "q w e r t y u"), (3, "another text of this very id"), (2, None), (2, None), (None, "alone is this null id here"), (None, "alone is this null id here")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in keep_one(frame(spark, rows)).collect()), key=str)
+    assert kept == sorted([(3, "q w e r t y u"), (3, "another text of this very id"), (2, None), (2, None), (None, "alone is this null id here")], key=str)
 
 
 def test_links_connect_what_all_links_connect():

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import decontaminate as dc
 from lexloom.llm import language_id, license_scan, mixing, pii, quality, secret_scan, toxicity
@@ -284,3 +285,16 @@ def test_mixing_of_a_rare_source(spark):
     while (below := below + math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))) <= u:
         k += 1
     assert tuple(got) == (k, k) and k > mixing.BLOCK
+
+
+def test_mixing_passes_columns_of_any_name(spark):
+    names = ["mix_source", "mix_row", "mix_id", "mix_copies", "mix_block", "cdf", "cdf_from", "rate", "copy_no", "shuffle_key", "weight", "rows"]
+    docs = frame(spark, [(i, f"t{i}", "en", "ab"[i % 2]) for i in range(40)] + [(None, None, None, None), (3, "t3", "en", "b")])
+    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "copy_no_", "shuffle_key_"]
+    rows = out.collect()
+    assert rows and all(r[n] == i for r in rows for i, n in enumerate(names))
+    assert [r["shuffle_key_"] for r in rows] == sorted(r["shuffle_key_"] for r in rows)
+    plain = mixing.mix(docs.drop(*names)).collect()
+    assert sorted((str(r["doc_id"]), r["copy_no"]) for r in plain) == sorted((str(r["doc_id"]), r["copy_no_"]) for r in rows)
