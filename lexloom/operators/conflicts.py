@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,22 +39,20 @@ def by_priority(spans: DataFrame, key: str = "doc_id", weak: int = 5) -> DataFra
 def greedy_longest(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans are taken in seq order; one that overlaps a kept span replaces the first such if longer, else goes; texts once.
 
-    The outcome depends on order, so each document's spans are folded in one group.
+    The outcome depends on order, so each document's spans are folded in an array, in the JVM; documents without spans
+    give no rows.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in rows.sort_values("seq").to_dict("records"):
-            hit = next((i for i, k in enumerate(kept) if r["start"] < k["end"] and k["start"] < r["end"]), None)
-            if hit is None:
-                kept.append(r)
-            elif r["end"] - r["start"] > kept[hit]["end"] - kept[hit]["start"]:
-                kept[hit] = r
-        seen: set = set()
-        out = [r for r in kept if not (r["text"] in seen or seen.add(r["text"]))]
-        return pd.DataFrame(out, columns=rows.columns)
-
-    return spans.groupBy(key).applyInPandas(fold, spans.schema)
+    rest = [c for c in spans.columns if c not in (key, "seq")]
+    every = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", *rest))).alias("rows"))
+    overlap = "(r.start < k.`end` and k.start < r.`end`)"
+    at = f"array_position(transform(kept, k -> {overlap}), true)"
+    longer = "r.`end` - r.start > k.`end` - k.start"
+    fold = f"aggregate(rows, slice(rows, 1, 0), (kept, r) -> case when {at} = 0 then concat(kept, array(r)) else transform(kept, (k, i) -> case when i + 1 = {at} and {longer} then r else k end) end)"
+    kept = every.select(key, F.expr(fold).alias("kept"))
+    # an element whose text stands earlier goes; the list of texts is made once for each document
+    texts = kept.select(key, "kept", F.transform("kept", lambda k: k["text"]).alias("texts"))
+    once = texts.select(key, F.expr("filter(kept, (k, i) -> array_position(texts, k.text) = i + 1)").alias("kept"))
+    return once.select(key, F.inline("kept")).select(*spans.columns)
 
 
 def adjusted_confidence(spans: DataFrame, sentence: str = "sentence") -> DataFrame:

@@ -367,18 +367,18 @@ def t03_page(spark, d):
     return laws(spark, d).select("law_id", "title").orderBy("title", "law_id").offset(40).limit(20)
 
 
-@query(T("SELECT version_id, article_number, node_id FROM articles WHERE version_id < 50 QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY article_number, node_id) <= 3", "articles"))
+@query(T("SELECT version_id, article_number, node_id FROM articles QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY article_number, node_id) <= 3", "articles"))
 def t10_first_articles(spark, d):
     w = Window.partitionBy("version_id").orderBy("article_number", "node_id")
-    return articles(spark, d).where("version_id < 50").select("version_id", "article_number", "node_id").withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r")
+    return articles(spark, d).select("version_id", "article_number", "node_id").withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r")
 
 
-@query(T("SELECT law_id, version_id, coalesce(array_to_string(list(change_type) OVER (PARTITION BY law_id ORDER BY version_date, version_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), ','), '') AS recent FROM versions WHERE law_id < 100", "versions"))
+@query(T("SELECT law_id, version_id, coalesce(array_to_string(list(change_type) OVER (PARTITION BY law_id ORDER BY version_date, version_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), ','), '') AS recent FROM versions", "versions"))
 def t12_recent_five(spark, d):
     """Bounded recency list: the five rows before."""
     w = Window.partitionBy("law_id").orderBy("version_date", "version_id").rowsBetween(-5, -1)
     recent = F.collect_list("change_type").over(w)
-    return versions(spark, d).where("law_id < 100").select("law_id", "version_id", F.array_join(recent, ",").alias("recent"))
+    return versions(spark, d).select("law_id", "version_id", F.array_join(recent, ",").alias("recent"))
 
 
 @query(T("SELECT law_id, version_id, version_date, row_number() OVER (PARTITION BY law_id ORDER BY version_date DESC, version_id DESC) AS age FROM versions", "versions"))
@@ -387,11 +387,11 @@ def w01_version_age(spark, d):
     return versions(spark, d).select("law_id", "version_id", "version_date", F.row_number().over(w).alias("age"))
 
 
-@query(T("SELECT version_id, article_number, node_id, lag(node_id) OVER w AS previous, lead(node_id) OVER w AS next FROM articles WHERE version_id < 200 WINDOW w AS (PARTITION BY version_id ORDER BY article_number, node_id, chapter, length, enforced)", "articles"))
+@query(T("SELECT version_id, article_number, node_id, lag(node_id) OVER w AS previous, lead(node_id) OVER w AS next FROM articles WINDOW w AS (PARTITION BY version_id ORDER BY article_number, node_id, chapter, length, enforced)", "articles"))
 def w02_neighbour_articles(spark, d):
     """Relative article lookup over the articles that exist."""
     w = Window.partitionBy("version_id").orderBy("article_number", "node_id", "chapter", "length", "enforced")
-    return articles(spark, d).where("version_id < 200").select("version_id", "article_number", "node_id", F.lag("node_id").over(w).alias("previous"), F.lead("node_id").over(w).alias("next"))
+    return articles(spark, d).select("version_id", "article_number", "node_id", F.lag("node_id").over(w).alias("previous"), F.lead("node_id").over(w).alias("next"))
 
 
 @query(T("SELECT src AS node FROM edges WHERE rel_type = 'APPLIES' UNION SELECT dst FROM edges WHERE rel_type = 'APPLIES'", "edges"))
