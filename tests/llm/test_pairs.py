@@ -161,13 +161,46 @@ def test_line_dedup_runs_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def coded(df):
+    return df.withColumns({"ca": ld.word_codes("a"), "cb": ld.word_codes("b"), "wa": ld.word_set("a"), "wb": ld.word_set("b")})
+
+
 def test_edit_similarity_threshold(spark):
+    is_alike = lambda df, s: [r[0] for r in coded(df).select(ld.alike("a", "b", "ca", "cb", "wa", "wb", s)).collect()]
     df = spark.createDataFrame([("abcdefghij", "abcdefghxy"), ("abcdefghij", "abcdefgxyz"), ("a", "a")], "a string, b string")
-    coded = df.withColumns({"ca": ld.word_codes("a"), "cb": ld.word_codes("b")})
-    assert [r[0] for r in coded.select(ld.alike("a", "b", "ca", "cb", 0.8)).collect()] == [True, False, True]
-    coded = df.select(F.concat("a", F.lit(" one two three")).alias("a"), F.concat("b", F.lit(" one two three")).alias("b")).withColumns({"ca": ld.word_codes("a"), "cb": ld.word_codes("b")})
-    assert [r[0] for r in coded.select(ld.alike("a", "b", "ca", "cb", 0.8)).collect()] == [True, True, True]
-    assert [r[0] for r in coded.select(ld.alike("a", "b", "ca", "cb", 0.9)).collect()] == [True, False, True]
+    assert is_alike(df, 0.8) == [True, False, True]
+    df = df.select(F.concat("a", F.lit(" one two three")).alias("a"), F.concat("b", F.lit(" one two three")).alias("b"))
+    assert is_alike(df, 0.8) == [True, True, True]
+    assert is_alike(df, 0.9) == [True, False, True]
+
+
+def test_bounds_change_no_answer(spark):
+    """The cheap bounds before the word distance give what the plain rule on full distances gives."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rows = []
+    for _ in range(400):
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 40))]
+        share = rng.choice((0, 0.02, 0.1, 0.2, 0.3, 0.4, 0.6))
+        v = [rng.choice(vocabulary) if rng.random() < share else x for x in w if rng.random() > share / 4]
+        rows.append((" ".join(w), " ".join(v or w)))
+    want = []
+    for a, b in rows:
+        n, chars, words = max(len(a.split()), len(b.split())), max(len(a), len(b)), distance(a.split(), b.split())
+        limit = int(0.2 * chars + 0.001)
+        want.append(abs(len(a) - len(b)) <= limit and words <= -(-35 * n // 100) and (100 * words <= 15 * n or distance(a, b) <= limit))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    got = dict(coded(df).select("i", ld.alike("a", "b", "ca", "cb", "wa", "wb", 0.8)).collect())
+    assert 50 < sum(want) < 350 and [got[i] for i in range(400)] == want
 
 
 def test_line_dedup_finds_what_all_pairs_find(spark):
