@@ -1,8 +1,8 @@
 """Quality rules: base counts of every document, and robust multivariate outliers by language and source.
 
 Each document's statistics are turned into a vector; for each (lang, source) group the minimum-covariance-determinant
-centre and scatter are estimated over all the group's rows by concentration steps, each one a distributed aggregation;
-documents whose squared Mahalanobis distance passes a cutoff are rejected.
+centre and scatter are estimated over all the group's rows by concentration steps from several deterministic starts, each
+step a distributed aggregation; documents whose squared Mahalanobis distance passes a chi-square point are rejected.
 """
 
 from __future__ import annotations
@@ -11,17 +11,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import join_small, map_batches, written
+from lexloom.llm.common import Scratch, join_small, map_batches, written
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("x_length", "x_word", "x_symbol", "x_repeat", "x_lines", "x_case", "x_digit", "x_mark")
 #: Least spread of each feature: below it, differences don't count as outlying.
-FLOORS = (0.25, 0.04, 0.03, 0.2, 0.3, 0.03, 0.08, 0.03)
+FLOORS = (0.25, 0.04, 0.03, 0.12, 0.12, 0.03, 0.08, 0.03)
 #: Characters (words, lines) added to a share's denominator, so that a short text's shares tell less.
 PRIOR = {"word_chars": 200, "n_words": 30, "n_lines": 5}
 #: Squared-distance bins for the distributed quantiles: 32 for each doubling.
 BINS = 32.0
+#: What a row is grouped by, and the keys of the group of all rows.
+KEYS, ALL = ["g_lang", "g_source"], "\x01"
+#: Estimates of at most so many groups and starts (under half a kilobyte each) are broadcast.
+MOST_GROUPS = 50_000
 
 
 def _counts():
@@ -112,21 +116,53 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _solve():
-    """From sums to centre and the lower factor L of the inverse scatter (d2 = |L^T (x - c)|^2), floors applied."""
+def _scatter(n, s, ss) -> tuple[np.ndarray, np.ndarray]:
     p = len(FEATURES)
-    floor = np.diag(np.square(FLOORS))
+    c, m = np.array(s) / n, np.zeros((p, p))
+    m[np.tril_indices(p)] = np.array(ss) / n
+    return c, np.tril(m) + np.tril(m, -1).T - np.outer(c, c)
 
-    def one(n, s, ss):
-        c = np.array(s) / n
-        m = np.zeros((p, p))
-        m[np.tril_indices(p)] = np.array(ss) / n
-        cov = np.tril(m) + np.tril(m, -1).T - np.outer(c, c)
-        return c.tolist(), np.linalg.cholesky(np.linalg.inv(cov + floor)).T[np.triu_indices(p)].tolist()
+
+def _factor(cov: np.ndarray) -> tuple[list[float], float]:
+    """The upper factor of the inverse scatter (d2 = |L^T (x - c)|^2) and the scatter's log determinant, floors applied."""
+    cov = cov + np.diag(np.square(FLOORS))
+    return np.linalg.cholesky(np.linalg.inv(cov)).T[np.triu_indices(len(FEATURES))].tolist(), float(np.linalg.slogdet(cov)[1])
+
+
+def _solve(shrink_rows: float):
+    """From a group's sums and those of all rows (``t_``) to centre, factor and log determinant.
+
+    Both centre and scatter are averaged with those of all rows, which count as ``shrink_rows`` rows.
+    """
+
+    def one(n, s, ss, tn, ts, tss):
+        (c, cov), (tc, tcov) = _scatter(n, s, ss), _scatter(tn, ts, tss)
+        w = n / (n + shrink_rows)
+        return (w * c + (1 - w) * tc).tolist(), *_factor(w * cov + (1 - w) * tcov)
 
     def apply(cols):
-        got = [one(*x) for x in zip(*(cols[k].to_pylist() for k in ("n", "s", "ss")))]
-        return {"g_lang": cols["g_lang"], "g_source": cols["g_source"], "centre": [g[0] for g in got], "factor": [g[1] for g in got]}
+        got = [one(*x) for x in zip(*(cols[k].to_pylist() for k in ("n", "s", "ss", "t_n", "t_s", "t_ss")))]
+        return {k: cols[k] for k in (*KEYS, "start")} | {"centre": [g[0] for g in got], "factor": [g[1] for g in got], "logdet": [g[2] for g in got]}
+
+    return apply
+
+
+def _starts():
+    """Three first estimates from robust scales: no correlation, that of tanh scores, and that of spatial signs."""
+
+    def apply(cols):
+        out = {k: [] for k in (*KEYS, "start", "centre", "factor", "logdet")}
+        for *key, middle, spread, n, s, ss in zip(*(cols[k].to_pylist() for k in (*KEYS, "middle", "spread", "n", "s", "ss"))):
+            for start in range(3):
+                r = np.eye(len(FEATURES))
+                if start:
+                    cov = _scatter(n, s[start - 1], ss[start - 1])[1]
+                    d = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+                    r = 0.98 * cov / np.outer(d, d) + 0.02 * r
+                factor, logdet = _factor(r * np.outer(spread, spread))
+                for k, x in zip(out, (*key, start, middle, factor, logdet)):
+                    out[k].append(x)
+        return out
 
     return apply
 
@@ -144,53 +180,81 @@ def _distance() -> Column:
     return total
 
 
-def outliers(
-    stats: DataFrame,
-    support: float = 0.75,
-    steps: int = 4,
-    cutoff: float = 50.0,
-    min_rows: int = 200,
-) -> DataFrame:
+def chi_square(x: float, p: int) -> float:
+    """The chi-square distribution function for an even number of degrees of freedom."""
+    terms = np.cumprod([1.0] + [x / 2 / i for i in range(1, p // 2)])
+    return float(1 - np.exp(-x / 2) * terms.sum())
+
+
+def chi_square_point(share: float, p: int) -> float:
+    low, high = 0.0, 1000.0
+    while high - low > 1e-9 * high:
+        low, high = ((low + high) / 2, high) if chi_square((low + high) / 2, p) < share else (low, (low + high) / 2)
+    return high
+
+
+def estimates(used: DataFrame, support: float, max_steps: int, shrink_rows: float, settled: float = 0.01) -> DataFrame:
+    """(g_lang, g_source, centre, factor, logdet): the minimum-covariance-determinant estimate of each group.
+
+    Of three deterministic starts, each taken two concentration steps, the one of least determinant goes on, until no
+    group's log determinant moves by more than ``settled`` or ``max_steps`` are done. All rows together are a group of
+    their own, its keys U+0001, towards which the others shrink. Each step is an aggregation; groups meet rows by broadcast.
+    """
+    scratch = Scratch(used.sparkSession)
+    fit = scratch.write(used.unionByName(used.withColumns({k: F.lit(ALL) for k in KEYS})), "quality-fit")
+    kind = "g_lang string, g_source string, start int, centre array<double>, factor array<double>, logdet double"
+
+    middle = fit.groupBy(*KEYS).agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q_{f}") for f in FEATURES])
+    spread = [F.greatest((F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / 1.349, F.lit(x)) for f, x in zip(FEATURES, FLOORS)]
+    middle = scratch.write(middle.select(*KEYS, F.array(*[F.col(f"q_{f}")[1] for f in FEATURES]).alias("middle"), F.array(*spread).alias("spread")), "quality-middle")
+    scored = join_small(fit, middle, KEYS, limit=MOST_GROUPS)
+    scores = scored.select(*KEYS, *[((F.col(f) - F.col("middle")[i]) / F.col("spread")[i]).alias(f) for i, f in enumerate(FEATURES)])
+    length = F.sqrt(sum(F.col(f) * F.col(f) for f in FEATURES) + 1e-12)
+    sums = [_moments(scores.select(*KEYS, *[g(F.col(f)).alias(f) for f in FEATURES]), KEYS) for g in (F.tanh, lambda x: x / length)]
+    both = sums[0].join(sums[1].select(*KEYS, F.col("s").alias("s2"), F.col("ss").alias("ss2")), KEYS)
+    both = both.join(middle, KEYS).select(*KEYS, "middle", "spread", "n", F.array("s", "s2").alias("s"), F.array("ss", "ss2").alias("ss"))
+    model = scratch.write(map_batches(both, kind, _starts), "quality-model")
+
+    def step(model: DataFrame, share: float) -> DataFrame:
+        by = [*KEYS, "start"]
+        rated = join_small(fit, model, KEYS, limit=MOST_GROUPS).select(*by, *FEATURES, _bin(_distance()).alias("bin"))
+        limit = scratch.write(_quantile(rated.select(*by, "bin"), by, share).withColumnRenamed("bin", "limit_bin"), "quality-limit")
+        sums = scratch.write(_moments(join_small(rated, limit, by, limit=MOST_GROUPS).where("bin <= limit_bin"), by), "quality-sums")
+        target = sums.where(F.col("g_lang") == ALL).select("start", *[F.col(c).alias(f"t_{c}") for c in ("n", "s", "ss")])
+        return scratch.write(map_batches(sums.join(F.broadcast(target), "start"), kind, lambda: _solve(shrink_rows)), "quality-model")
+
+    for share in (0.5, support):
+        model = step(model, share)
+    best = model.groupBy(*KEYS).agg(F.min_by(F.struct("centre", "factor", "logdet"), F.struct("logdet", "start")).alias("m"))
+    model = scratch.write(best.select(*KEYS, F.lit(0).alias("start"), "m.*"), "quality-model")
+    for _ in range(max_steps - 2):
+        before, model = model.select(*KEYS, F.col("logdet").alias("before")), step(model, support)
+        moved = model.join(before, KEYS).agg(F.max(F.abs(F.col("logdet") - F.col("before")))).first()[0]
+        if (moved or 0) <= settled:
+            break
+    # the scatter of the most central rows is too small: the median squared distance tells by how much
+    scaled = join_small(fit, model, KEYS, limit=MOST_GROUPS).select(*KEYS, _bin(_distance()).alias("bin"))
+    half = _quantile(scaled, KEYS, 0.5).select(*KEYS, (F.pow(2.0, (F.col("bin") + 0.5) / BINS) / chi_square_point(0.5, len(FEATURES))).alias("scale"))
+    result = written(model.join(half, KEYS).select(*KEYS, "centre", "factor", "logdet", F.greatest("scale", F.lit(1.0)).alias("scale")), "quality-model")
+    scratch.drop()
+    return result
+
+
+def outliers(stats: DataFrame, support: float = 0.75, max_steps: int = 12, tail: float = 1e-6, shrink_rows: float = 50.0) -> DataFrame:
     """``stats`` with ``distance`` (squared, scaled by the group's median) and ``outlier``.
 
-    ``support``: share of a group's rows on which centre and scatter are concentrated. ``steps``: concentration steps.
-    ``cutoff``: squared distance above which a row is an outlier; the scatter is scaled up so that the median squared
-    distance is the chi-square median, but never down, as the floors are spreads that don't matter. Groups of fewer than ``min_rows`` rows use the estimates of all rows. Rows of
-    documents without words are left out of the estimates and are never outliers here (the base rule rejects them).
-    A null language or source forms a group of its own.
+    ``support``: share of a group's rows on which centre and scatter are concentrated. ``tail``: an outlier's squared
+    distance is one that the chi-square law gives less often; it is small because the statistics' tails are heavier than
+    normal ones. The scatter is scaled up so that the median squared distance is the chi-square median, but never down,
+    as the floors are spreads that don't matter. ``shrink_rows``: all rows count as so many rows of each group, so that the
+    estimate of a small group passes smoothly into that of all rows. Rows without words are left out of the estimates and
+    are never outliers here (the base rule rejects them). A null language or source forms a group of its own.
     """
-    keys = ["g_lang", "g_source"]
     rows = features(stats).withColumns({"g_lang": F.coalesce("lang", F.lit("\x00")), "g_source": F.coalesce("source", F.lit("\x00"))})
-    used = written(rows.where("n_words > 0").select(*keys, *FEATURES), "quality-features")
-    sizes = used.groupBy(*keys).agg(F.count("*").alias("rows"))
-    # each row counts in its own group if that is large enough, else in the group of all rows
-    small = sizes.where(F.col("rows") < min_rows).select(*keys, F.lit(True).alias("is_small"))
-    pooled = lambda df: df.withColumns({k: F.lit("\x01") for k in keys})
-    grouped = used.join(sizes.where(F.col("rows") >= min_rows).select(*keys), keys, "left_semi")
-    has_small = bool(small.take(1))
-    fit = grouped.unionByName(pooled(used)) if has_small else grouped
-    fit = written(fit.select(*keys, *FEATURES), "quality-fit") if has_small else used
-
-    # starting point: the half nearest the coordinate-wise medians
-    start = fit.groupBy(*keys).agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q_{f}") for f in FEATURES])
-    spread = lambda i, f: F.greatest((F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / 1.349, F.lit(FLOORS[i]))
-    p = len(FEATURES)
-    diagonal = [[(F.lit(1.0) / spread(i, FEATURES[i])) if i == j else F.lit(0.0) for j in range(i, p)] for i in range(p)]
-    model = start.select(*keys, F.array(*[F.col(f"q_{f}")[1] for f in FEATURES]).alias("centre"), F.array(*[x for r in diagonal for x in r]).alias("factor"))
-    kind = "g_lang string, g_source string, centre array<double>, factor array<double>"
-    for step in range(steps):
-        model = written(model, "quality-model")
-        near = _nearest(fit, model, keys, 0.5 if step == 0 else support)
-        model = map_batches(_moments(near, keys).where("n > 0"), kind, _solve)
-    model = written(model, "quality-model")
-    scaled = join_small(fit, model, keys).select(*keys, _bin(_distance()).alias("bin"))
-    half = _quantile(scaled, keys, 0.5).select(*keys, F.pow(2.0, (F.col("bin") + 0.5) / BINS).alias("median"))
-    chi_median = p * (1 - 2 / (9 * p)) ** 3
-    model = written(model.join(half, keys).select(*keys, "centre", "factor", F.greatest(F.col("median") / chi_median, F.lit(1.0)).alias("scale")), "quality-model")
-    if has_small:
-        rows = join_small(rows, small, keys, "left").withColumns({k: F.when(F.col("is_small"), F.lit("\x01")).otherwise(F.col(k)) for k in keys}).drop("is_small")
-    rated = join_small(rows, model, keys, "left").withColumn("distance", _distance() / F.col("scale"))
-    return rated.withColumn("outlier", F.coalesce((F.col("n_words") > 0) & (F.col("distance") > cutoff), F.lit(False))).drop("centre", "factor", "scale", *keys, *FEATURES)
+    model = estimates(rows.where("n_words > 0").select(*KEYS, *FEATURES), support, max_steps, shrink_rows)
+    rated = join_small(rows, model, KEYS, "left", limit=MOST_GROUPS).withColumn("distance", _distance() / F.col("scale"))
+    cutoff = chi_square_point(1 - tail, len(FEATURES))
+    return rated.withColumn("outlier", F.coalesce((F.col("n_words") > 0) & (F.col("distance") > cutoff), F.lit(False))).drop("centre", "factor", "logdet", "scale", *KEYS, *FEATURES)
 
 
 def _bin(d2: Column) -> Column:
@@ -207,12 +271,6 @@ def _quantile(binned: DataFrame, keys: list[str], share: float) -> DataFrame:
     return run.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias("bin"))
 
 
-def _nearest(fit: DataFrame, model: DataFrame, keys: list[str], share: float) -> DataFrame:
-    rated = join_small(fit, model, keys).select(*keys, *FEATURES, _bin(_distance()).alias("bin"))
-    limit = written(_quantile(rated.select(*keys, "bin"), keys, share).withColumnRenamed("bin", "limit_bin"), "quality-limit")
-    return join_small(rated, limit, keys).where("bin <= limit_bin")
-
-
 def quality_rules(docs: DataFrame, min_words: int = 10, repeat_percent: int = 20, **how) -> DataFrame:
     """doc_id, the base counts, ``base_failed``, the robust ``distance`` and ``kept`` for every row of ``docs``.
 

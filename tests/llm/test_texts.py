@@ -170,11 +170,60 @@ def test_outliers_go_and_others_stay(spark):
     rng = random.Random(3)
     docs = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(40, 300))) + ".", "en", f"s{i % 2}") for i in range(500)]
     docs += [(1000 + i, " | ".join("$$$%%%" for _ in range(60)), "en", "s0") for i in range(20)]
-    r = {x["doc_id"]: x for x in quality.quality_rules(frame(spark, docs), min_rows=50).collect()}
+    r = {x["doc_id"]: x for x in quality.quality_rules(frame(spark, docs)).collect()}
     assert sum(not r[i]["kept"] for i in range(500)) <= 2
     assert not any(r[1000 + i]["kept"] for i in range(20))
 
 
+def test_repeated_lines_are_outliers_in_small_groups_too(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    line = lambda: " ".join(word() for _ in range(8)) + "."
+    docs = [(i, "\n".join(line() for _ in range(rng.randrange(8, 40))), "en", f"s{i % 9}") for i in range(270)]
+    docs += [(1000 + i, "\n".join(x for _ in range(30) for x in (line(), "Read more")), "en", f"s{i}") for i in range(4)]
+    r = {x["doc_id"]: x for x in quality.quality_rules(frame(spark, docs)).collect()}
+    assert not any(r[1000 + i]["base_failed"] or r[1000 + i]["kept"] for i in range(4))
+    assert sum(not r[i]["kept"] for i in range(270)) <= 1
+
+
+def test_estimates_against_plain_fast_mcd(spark):
+    """The distributed search comes as low as exact concentration steps from sixty random starts, and flags the same rows."""
+    rng = np.random.default_rng(8)
+    p, n, h = len(quality.FEATURES), 900, 675
+    mix = rng.normal(size=(p, p)) * 0.4
+    x = rng.normal(size=(n, p)) @ mix
+    x[:150] += 6 * rng.normal(size=p)
+    floor = np.diag(np.square(quality.FLOORS))
+
+    def fitted(rows):
+        cov = np.cov(rows.T, bias=True) + floor
+        d = x - rows.mean(0)
+        return np.linalg.slogdet(cov)[1], np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
+
+    best = (np.inf, None)
+    for _ in range(60):
+        logdet, d2 = fitted(x[rng.choice(n, p + 2, replace=False)])
+        for _ in range(30):
+            last = logdet
+            logdet, d2 = fitted(x[np.argsort(d2)[:h]])
+            if abs(last - logdet) < 1e-9:
+                break
+        best = min(best, (logdet, d2), key=lambda b: b[0])
+    used = spark.createDataFrame([("g", "g", *map(float, r)) for r in x], "g_lang string, g_source string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    m = quality.estimates(used, 0.75, 20, 0.0).where("g_lang = 'g'").first()
+    factor = np.zeros((p, p))
+    factor[np.triu_indices(p)] = m["factor"]
+    d2 = np.square((x - np.array(m["centre"])) @ factor.T).sum(1)
+    assert m["logdet"] <= best[0] + 0.1
+    flagged = lambda d: d / max(1, np.median(d) / quality.chi_square_point(0.5, p)) > quality.chi_square_point(1 - 1e-6, p)
+    assert (flagged(d2) == flagged(best[1])).mean() > 0.99 and flagged(d2)[:150].all() and not flagged(d2)[150:].any()
+
+
+def test_chi_square_points():
+    """Tabled points of eight degrees of freedom."""
+    assert [round(quality.chi_square_point(q, 8), 2) for q in (0.5, 0.95, 0.999)] == [7.34, 15.51, 26.12]
+
+
 def test_quality_awkward(spark):
     got = quality.quality_rules(awkward(spark)).collect()
     assert len(got) == 8
