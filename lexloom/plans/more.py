@@ -15,37 +15,58 @@ from lexloom.sources.tables import articles, edges, laws, nodes, versions, with_
 
 T = with_tables
 
-XML = (
-    "<Law Era='Heisei' Year='17' Num='86' LawType='Act' PromulgateMonth='7' PromulgateDay='26'><LawNum>平成十七年法律第八十六号</LawNum><LawBody><LawTitle>会社法</LawTitle><MainProvision>"
-    "<Chapter Num='1'><ChapterTitle>第一章</ChapterTitle><Article Num='1'><ArticleTitle>第一条</ArticleTitle><Paragraph Num='1'><ParagraphSentence><Sentence>甲。</Sentence><Sentence>乙。</Sentence></ParagraphSentence>"
-    "<Item Num='1'><ItemTitle>一</ItemTitle><ItemSentence><Sentence>丙</Sentence></ItemSentence><Subitem1 Num='1'><Subitem1Title>イ</Subitem1Title><Subitem1Sentence><Sentence>丁</Sentence></Subitem1Sentence></Subitem1></Item></Paragraph></Article>"
-    "<Article Num='2'><ArticleTitle>第二条</ArticleTitle><Paragraph Num='1'><ParagraphSentence><Sentence>削除</Sentence></ParagraphSentence></Paragraph></Article></Chapter></MainProvision></LawBody></Law>"
-)
+#: The same order of a version's articles on both sides.
+_PLACE = ("article_number", "node_id", "chapter", "flag", "length")
 
 
-def _law(spark):
-    return statutes.parse_laws(spark.createDataFrame([("417AC0000000086", XML)], "law_id string, xml string"))
+def _statutes(spark, d):
+    """A statute XML of each version: its articles in one chapter, items under those that apply, and reference tags."""
+    a = articles(spark, d).withColumn("length", F.col("length").cast("int"))
+    x = lambda c: F.col("x")[c].cast("string")
+    held = a.groupBy("version_id").agg(F.sort_array(F.collect_list(F.struct(*_PLACE))).alias("all"))
+    held = held.select("version_id", F.explode_outer("all").alias("x"))
+    item = F.concat(F.lit("<Item Num='1'><ItemTitle>一</ItemTitle><ItemSentence><Sentence>丙"), x("length"), F.lit("</Sentence></ItemSentence><Subitem1 Num='1'><Subitem1Title>イ</Subitem1Title><Subitem1Sentence><Sentence>丁"), x("chapter"), F.lit("</Sentence></Subitem1Sentence></Subitem1></Item>"))
+    first = F.when(x("flag") == "R", F.lit("削除")).otherwise(F.concat(F.lit("甲"), x("node_id"), F.lit("。")))
+    one = F.concat(
+        F.lit("<Article Num='"), x("article_number"), F.lit("'><ArticleTitle>第"), x("article_number"), F.lit("条</ArticleTitle><Paragraph Num='1'><ParagraphSentence><Sentence>"), first,
+        F.lit("</Sentence><Sentence>乙"), x("chapter"), F.lit("。</Sentence></ParagraphSentence>"), F.when(x("flag") == "A", item).otherwise(F.lit("")), F.lit("</Paragraph></Article>"),
+    )
+    body = held.groupBy("version_id").agg(F.sort_array(F.collect_list(F.struct("x", one.alias("xml")))).alias("all"))
+    body = body.select("version_id", F.array_join(F.transform("all", lambda r: r["xml"]), "").alias("body"))
+    v = versions(spark, d).join(body, "version_id", "left")
+    n = F.col("version_id")
+    head = F.format_string("<Law Era='Heisei' Year='%d' Num='1' LawType='Act' PromulgateMonth='%d' PromulgateDay='%d'><LawNum>第%d号</LawNum><Note><b><LawRef>法%d</LawRef></b></Note><ArticleRef>第%d条</ArticleRef>", (n % 30 + 1).cast("int"), (n % 12 + 1).cast("int"), (n % 28 + 1).cast("int"), n, F.col("law_id"), (n % 9).cast("int"))
+    main = F.format_string("<LawBody><LawTitle>法%d</LawTitle><MainProvision><Chapter Num='1'><ChapterTitle>第%d章</ChapterTitle>%s</Chapter></MainProvision></LawBody></Law>", n, (n % 9).cast("int"), F.coalesce("body", F.lit("")))
+    return v.select(n.cast("string").alias("law_id"), F.concat(head, main).alias("xml"))
 
 
-@query("SELECT '417AC0000000086' AS law_id, '会社法' AS title, '平成十七年法律第八十六号' AS law_number, 'Act' AS law_type, '2005-07-26' AS promulgated")
+def _law(spark, d):
+    return statutes.parse_laws(_statutes(spark, d))
+
+
+_IN_ORDER = f"row_number() OVER (PARTITION BY version_id ORDER BY {', '.join(_PLACE[:4])}, length::INT)::INT"
+_CONTENT = "CASE WHEN flag = 'R' THEN '削除' ELSE '甲' || node_id || '。' END || chr(10) || '乙' || chapter || '。'"
+
+
+@query(T("SELECT version_id::VARCHAR AS law_id, '法' || version_id AS title, '第' || version_id || '号' AS law_number, 'Act' AS law_type, make_date((1988 + version_id % 30 + 1)::BIGINT, (version_id % 12 + 1)::BIGINT, (version_id % 28 + 1)::BIGINT)::VARCHAR AS promulgated FROM versions", "versions"))
 def s01_law_heads(spark, d):
-    return statutes.law_heads(_law(spark)).drop("enact_statements").withColumn("promulgated", F.col("promulgated").cast("string"))
+    return statutes.law_heads(_law(spark, d)).drop("enact_statements").withColumn("promulgated", F.col("promulgated").cast("string"))
 
 
-@query("SELECT * FROM (VALUES ('1', '第一条', '第一章', '甲。' || chr(10) || '乙。', false, 1), ('2', '第二条', '第一章', '削除', true, 2)) AS t(article_number, article_title, chapter, content, is_deleted, sort_order)")
+@query(T(f"SELECT version_id::VARCHAR AS law_id, article_number::VARCHAR AS article_number, '第' || article_number || '条' AS article_title, '第' || (version_id % 9) || '章' AS chapter, {_CONTENT} AS content, flag = 'R' AS is_deleted, {_IN_ORDER} AS sort_order FROM articles", "articles"))
 def s03_articles(spark, d):
-    return statutes.articles(_law(spark)).select("article_number", "article_title", "chapter", "content", "is_deleted", "sort_order")
+    return statutes.articles(_law(spark, d)).select("law_id", "article_number", "article_title", "chapter", "content", "is_deleted", "sort_order")
 
 
-@query("SELECT * FROM (VALUES ('1', 1, '甲。' || chr(10) || '乙。'), ('2', 1, '削除')) AS t(article_number, paragraph_number, content)")
+@query(T(f"SELECT version_id::VARCHAR AS law_id, article_number::VARCHAR AS article_number, 1 AS paragraph_number, {_CONTENT} AS content FROM articles", "articles"))
 def s04_paragraphs(spark, d):
-    return statutes.paragraphs(statutes.articles(_law(spark))).select("article_number", "paragraph_number", "content")
+    return statutes.paragraphs(statutes.articles(_law(spark, d))).select("law_id", "article_number", "paragraph_number", "content")
 
 
-@query("SELECT * FROM (VALUES (1, '一', '丙'), (2, '一/イ', '丁')) AS t(level, titles, content)")
+@query(T("SELECT version_id::VARCHAR AS law_id, article_number::VARCHAR AS article_number, 1 AS level, '一' AS titles, '丙' || length::INT AS content FROM articles WHERE flag = 'A' UNION ALL SELECT version_id::VARCHAR, article_number::VARCHAR, 2, '一/イ', '丁' || chapter FROM articles WHERE flag = 'A'", "articles"))
 def s05_items(spark, d):
-    found = statutes.items(statutes.paragraphs(statutes.articles(_law(spark))))
-    return found.select("level", F.array_join("titles", "/").alias("titles"), "content")
+    found = statutes.items(statutes.paragraphs(statutes.articles(_law(spark, d))))
+    return found.select("law_id", "article_number", "level", F.array_join("titles", "/").alias("titles"), "content")
 
 
 @query(T("SELECT law_id, title FROM laws ORDER BY law_id LIMIT 100 OFFSET 200", "laws"))
@@ -66,10 +87,9 @@ def s15_stripped_pages(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", statutes.stripped("html").alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('LawRef', '民法'), ('ArticleRef', '第三条')) AS t(tag, text)")
+@query(T("SELECT version_id::VARCHAR AS law_id, 'LawRef' AS tag, '法' || law_id AS text FROM versions UNION ALL SELECT version_id::VARCHAR, 'ArticleRef', '第' || (version_id % 9) || '条' FROM versions", "versions"))
 def s17_embedded_references(spark, d):
-    df = spark.createDataFrame([("L", "<a><b><LawRef>民法</LawRef></b><ArticleRef>第三条</ArticleRef></a>")], "law_id string, xml string")
-    return statutes.embedded_references(df).select("tag", "text")
+    return statutes.embedded_references(_statutes(spark, d)).select("law_id", "tag", "text")
 
 
 @query(T("SELECT n.node_id, (SELECT count(*) FROM edges WHERE src = n.node_id) AS made, (SELECT count(*) FROM edges WHERE dst = n.node_id) AS received FROM nodes n", "nodes", "edges"))
@@ -170,9 +190,13 @@ def f10_era_years(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), jp.era_year(era, "p_size").alias("year"))
 
 
-@query("SELECT * FROM (VALUES ('129AC0000000089', '129', 'AC', '0000000089', '法律'), ('325CO0000000001', '325', 'CO', '0000000001', '政令'), ('bad', NULL, NULL, NULL, 'その他')) AS t(law_id, era_year, type_code, number, kind)")
+@query(T("WITH i AS (SELECT version_id, lpad((version_id % 1000)::VARCHAR, 3, '0') AS y, CASE version_id % 3 WHEN 0 THEN 'AC' WHEN 1 THEN 'CO' ELSE 'bad' END AS t, lpad(version_id::VARCHAR, 10, '0') AS n FROM versions) SELECT y || t || n AS law_id, CASE WHEN t <> 'bad' THEN y END AS era_year, CASE WHEN t <> 'bad' THEN t END AS type_code, CASE WHEN t <> 'bad' THEN n END AS number, CASE t WHEN 'AC' THEN '法律' WHEN 'CO' THEN '政令' ELSE 'その他' END AS kind FROM i", "versions"))
 def f11_law_id_parts(spark, d):
-    df = spark.createDataFrame([("129AC0000000089",), ("325CO0000000001",), ("bad",)], "law_id string").withColumn("p", jp.law_id_parts("law_id"))
+    """Ids of two kinds and ids of no known form."""
+    n = F.col("version_id")
+    kind = F.when(n % 3 == 0, "AC").when(n % 3 == 1, "CO").otherwise("bad")
+    made = F.concat(F.lpad((n % 1000).cast("string"), 3, "0"), kind, F.lpad(n.cast("string"), 10, "0"))
+    df = versions(spark, d).select(made.alias("law_id")).withColumn("p", jp.law_id_parts("law_id"))
     return df.select("law_id", "p.era_year", "p.type_code", "p.number", jp.law_type_of("law_id").alias("kind"))
 
 
