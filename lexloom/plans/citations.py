@@ -10,6 +10,7 @@ from lexloom.operators import spans as sp
 from lexloom.operators.dictionary import build, resolve_names
 from lexloom.operators.relative import resolve, resolve_in_turn
 from lexloom.plans.catalog import query
+from lexloom.sources.tables import laws, versions, with_tables
 
 #: Inline statute texts: (doc_id, text, law id, law name, article, paragraph).
 TEXTS = (
@@ -136,6 +137,35 @@ def d00_detect(spark, d):
     return sp.detect(texts(spark), names(spark))
 
 
+_MADE = "'この法律は、顧客' || law_id || '法第' || (version_id % 50 + 1) || '条により、第' || (version_id % 40 + 2) || '条に従う。前条を除く。'"
+_AT = "t || '' AS full_text, version_id, law_id, version_id % 50 + 1 AS n, version_id % 40 + 2 AS m"
+
+
+@query(
+    with_tables(
+        f"WITH x AS (SELECT {_AT} FROM (SELECT *, {_MADE} AS t FROM versions)) "
+        "SELECT version_id, 'この法律' AS text, 'internal' AS type, 0 AS start, NULL::BIGINT AS target_law_id, NULL::VARCHAR AS target_article FROM x "
+        "UNION ALL SELECT version_id, '顧客' || law_id || '法第' || n || '条', 'external', 6, law_id, n::VARCHAR FROM x "
+        "UNION ALL SELECT version_id, '第' || m || '条', 'internal', (strpos(full_text, 'により、第') + 3)::INT, NULL, '第' || m || '条' FROM x "
+        "UNION ALL SELECT version_id, '前条', 'relative', (strpos(full_text, '前条') - 1)::INT, NULL, (m - 1)::VARCHAR FROM x",
+        "versions",
+    )
+)
+def d03_detect_versions(spark, d):
+    """The whole detector over a text of each version: this law, a named law's article, an article of its own, the one before.
+
+    The law itself is an internal reference, as the rule that may add an article comes before the contextual one.
+    """
+    v = versions(spark, d)
+    n, m = F.col("version_id") % 50 + 1, F.col("version_id") % 40 + 2
+    text = F.concat(F.lit("この法律は、顧客"), "law_id", F.lit("法第"), n.cast("string"), F.lit("条により、第"), m.cast("string"), F.lit("条に従う。前条を除く。"))
+    none = F.lit(None)
+    made = v.select(F.col("version_id").alias("doc_id"), text.alias("text"), none.cast("long").alias("law_id"), none.cast("string").alias("law_name"), m.cast("string").alias("article"), F.lit(1).alias("paragraph"))
+    dictionary = laws(spark, d).select(F.concat(F.lit("顧客"), "law_id", F.lit("法")).alias("name"), F.col("law_id").cast("long").alias("law_id"))
+    found = sp.detect(made, dictionary)
+    return found.select(F.col("doc_id").alias("version_id"), "text", "type", "start", "target_law_id", "target_article")
+
+
 @query()
 def c09_definitions(spark, d):
     rows = [(1, "この法律において「事業者」とは、事業を行う者をいう。個人情報（以下「情報」という。）を扱う。"), (2, "「甲」とは、乙をいう。「甲」とは、丙をいう。")]
