@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it is used: the variable of a one-element transform."""
+    return F.transform(F.array(value), use)[0]
+
+
 def kanji_to_int(text: str | Column) -> Column:
     """Value of a kanji numeral by a fold over its characters; null if null, empty, or any other character is in it.
 
@@ -77,15 +84,20 @@ def article_number(text: str | Column) -> Column:
 
     The number after 第 and before 条 counts first, else the first number in the text; none gives '' and 0. Null as empty.
     """
-    t = F.coalesce(_c(text), F.lit(""))
-    inner = F.regexp_extract(t, f"第([0-9{KANJI}]+)条", 1)
-    value = F.coalesce(F.when(inner != "", leading_kanji_value(inner)), leading_kanji_value(t))
-    return F.struct(
-        F.coalesce(value.cast("string"), F.lit("")).alias("numeric"),
-        F.when(value.isNotNull(), F.concat(F.lit("第"), value.cast("string"), F.lit("条"))).otherwise(t).alias("display"),
-        t.alias("original"),
-        F.coalesce(value, F.lit(0)).cast("long").alias("value"),
-    )
+
+    def parts(t: Column, value: Column) -> Column:
+        return F.struct(
+            F.coalesce(value.cast("string"), F.lit("")).alias("numeric"),
+            F.when(value.isNotNull(), F.concat(F.lit("第"), value.cast("string"), F.lit("条"))).otherwise(t).alias("display"),
+            t.alias("original"),
+            F.coalesce(value, F.lit(0)).cast("long").alias("value"),
+        )
+
+    def numbered(t: Column) -> Column:
+        inner = F.regexp_extract(t, f"第([0-9{KANJI}]+)条", 1)
+        return _once(leading_kanji_value(F.when(inner != "", inner).otherwise(t)), lambda value: parts(t, value))
+
+    return _once(F.coalesce(_c(text), F.lit("")), numbered)
 
 
 def article_range(start: str | Column, end: str | Column) -> Column:
