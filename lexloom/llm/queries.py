@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.llm.byte_bpe import token_digests
 from lexloom.llm.decontaminate import benchmark_overlap
 from lexloom.llm.language_id import identify
 from lexloom.llm.license_scan import license_scan
@@ -63,8 +64,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_language, op3_decontamination, op4_secrets, op5_quality, op6_licenses, op7_toxicity, op8_line_dedup, op9_pii, op10_mixing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_language, op3_decontamination, op4_secrets, op5_quality, op6_licenses, op7_toxicity, op8_line_dedup, op9_pii, op10_mixing, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
