@@ -27,7 +27,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed pattern by which the vocabulary splits text into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Rows are handled in slices of about so many characters, and a task remembers so many pre-tokens; neither changes a result.
-SLICE, REMEMBERED = 2_000_000, 400_000
+SLICE, REMEMBERED = 1_000_000, 250_000
 _U = np.uint64
 
 

@@ -50,3 +50,23 @@ SELECT doc_id, text, lang, source, n_chars, copy_no::INTEGER AS copy_no,
   ('0x' || substr(md5('18:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS shuffle_key
 FROM e
 """
+
+OP11 = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase FROM w CROSS JOIN (VALUES (1), (2), (3)) AS t(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, lang || '/' || phrase AS key, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k >= 2 AND f >= 10),
+h AS MATERIALIZED (
+  SELECT lang, k, phrase, a, cut, lang || '/' || array_to_string(w[1 : cut], ' ') AS left_key, lang || '/' || array_to_string(w[cut + 1 : k], ' ') AS right_key
+  FROM c CROSS JOIN (VALUES (1), (2)) AS t(cut) WHERE cut < k),
+x AS (
+  SELECT h.lang, h.k, h.phrase, h.a, cut, l.f AS l, r.f AS r, (1000000::HUGEINT * h.a * h.a) // (l.f::HUGEINT * r.f) AS score
+  FROM h JOIN f l ON l.key = left_key JOIN f r ON r.key = right_key),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+s AS (SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(a) AS longer FROM c CROSS JOIN (VALUES (1), (2)) AS t(i) WHERE k = 3 GROUP BY ALL),
+y AS (SELECT b.* FROM b LEFT JOIN s ON s.lang = b.lang AND s.phrase = b.phrase AND b.k = 2 WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM y JOIN n USING (lang) QUALIFY rank <= 2000
+"""
