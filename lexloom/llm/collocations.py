@@ -15,7 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +67,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def pointers(docs: DataFrame, heavy, most_words: int) -> DataFrame:
     """(lang, prefix, part, n_parts, right): for each word of a slice, what stands to the right of its occurrences.
 
-    ``right``: lines of up to ``most_words`` - 1 words, with a tab and a count where a line comes more than once. ``heavy``:
-    broadcast of (lang, word) to a number of parts.
+    ``right``: lines of up to ``most_words`` - 1 words with a blank behind each, then a tab and a count where a line comes more
+    than once. ``heavy``: broadcast of (lang, word) to a number of parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,69 +78,75 @@ def pointers(docs: DataFrame, heavy, most_words: int) -> DataFrame:
             for lang, cut in part.items():
                 found: dict[bytes, list[bytes]] = defaultdict(list)
                 for words in cut:
+                    line = b" ".join(words) + b" "
+                    starts = [0, *accumulate(len(w) + 1 for w in words), *[len(line)] * most_words]
                     for i, word in enumerate(words, 1):
-                        found[word].append(b" ".join(words[i : i + most_words - 1]))
+                        found[word].append(line[starts[i] : starts[i + most_words - 1]])
                 for word, right in found.items():
-                    n_parts, dealt = parts_of.get((lang, word), 1), defaultdict(list)
-                    for line, n in Counter(right).items():
-                        dealt[zlib.crc32(line) % n_parts if n_parts > 1 else 0].append(line if n == 1 else b"%b\t%d" % (line, n))
-                    out += [(lang, word, p, n_parts, b"\n".join(lines)) for p, lines in dealt.items()]
+                    n_parts = parts_of.get((lang, word), 1)
+                    lines = right if len(right) == 1 else [x if n == 1 else b"%b\t%d" % (x, n) for x, n in Counter(right).items()]
+                    if n_parts == 1:
+                        out.append((lang, word, 0, 1, b"\n".join(lines)))
+                        continue
+                    dealt = defaultdict(list)
+                    for x in lines:
+                        dealt[zlib.crc32(x.partition(b"\t")[0]) % n_parts].append(x)
+                    out += [(lang, word, p, n_parts, b"\n".join(y)) for p, y in dealt.items()]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["lang", "prefix", "part", "n_parts", "right"])
 
     return rows_by_lang(docs).mapInArrow(run, "lang string, prefix binary, part int, n_parts int, right binary")
 
 
-def grow(phrase: bytes, projected: list[tuple[bytes, int]], least: int, depth: int, partial: bool) -> Iterator[tuple[bytes, int]]:
+def grow(phrase: bytes, projected: list[bytes], least: int, depth: int, partial: bool) -> Iterator[tuple[bytes, int]]:
     """(phrase, count) for every extension to the right by up to ``depth`` words that comes ``least`` times or more.
 
-    ``projected``: what stands to the right of the occurrences, and how often. ``partial``: the occurrences are a part of all,
-    in which only phrases of full depth are whole; shorter ones come out with any count, to be added up.
+    ``projected``: what stands to the right of the occurrences, lines as of ``pointers``. ``partial``: the occurrences are a part of
+    all, in which only phrases of full depth are whole; shorter ones come out with any count, to be added up.
     """
-    after: dict[bytes, list[tuple[bytes, int]]] = defaultdict(list)
-    for right, n in projected:
-        word, _, rest = right.partition(b" ")
-        if word:
-            after[word].append((rest, n))
-    for word, rows in after.items():
-        n = sum(n for _, n in rows)
-        longer = phrase + b" " + word
-        if n >= least or (partial and depth > 1):
+    after: dict[bytes, list[bytes]] = defaultdict(list)
+    for line in projected:
+        word, blank, rest = line.partition(b" ")
+        if blank:
+            after[word].append(rest)
+    keep = partial and depth > 1
+    for word, rests in after.items():
+        n = len(rests)
+        for rest in rests:
+            if b"\t" in rest:
+                n += int(rest.rpartition(b"\t")[2]) - 1
+        if n >= least or keep:
+            longer = phrase + b" " + word
             yield longer, n
-        if depth > 1 and n >= least:
-            yield from grow(longer, rows, least, depth - 1, partial)
-        elif depth > 2 and partial:
-            yield from grow(longer, rows, least, depth - 1, partial)
+            if depth > 1 and (n >= least or depth > 2):
+                yield from grow(longer, rests, least, depth - 1, partial)
 
 
 def grown(dealt: DataFrame, least: int, most_words: int) -> DataFrame:
     """(lang, phrase, n) of every prefix's phrases; ``dealt`` holds each (lang, prefix, part) in consecutive rows of a partition."""
 
-    def emit(key: tuple, seen: Counter, n_parts: int) -> Iterator[tuple]:
-        if n_parts > 1 or sum(seen.values()) >= least:
-            for phrase, n in grow(key[1], list(seen.items()), least, most_words - 1, n_parts > 1):
-                yield key[0], phrase, n
+    def emit(key: tuple, lines: list[bytes], n_parts: int) -> Iterator[tuple]:
+        for phrase, n in grow(key[1], lines, least, most_words - 1, n_parts > 1):
+            yield key[0], phrase, n
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows)) or [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()).cast(pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, seen, parts, out = None, Counter(), 1, []
+        key, lines, parts, out = None, [], 1, []
         for batch in batches:
             for lang, prefix, part, n_parts, right in zip(*(c.to_pylist() for c in batch.columns)):
                 if (lang, prefix, part) != key:
                     if key:
-                        out.extend(emit(key, seen, parts))
-                    key, seen, parts = (lang, prefix, part), Counter(), n_parts
-                for line in right.split(b"\n"):
-                    text, tab, n = line.partition(b"\t")
-                    seen[text] += int(n) if tab else 1
+                        out.extend(emit(key, lines, parts))
+                    key, lines, parts = (lang, prefix, part), [], n_parts
+                lines += right.split(b"\n")
                 if len(out) >= 50_000:
                     yield batch_of(out)
                     out = []
         if key:
-            out.extend(emit(key, seen, parts))
+            out.extend(emit(key, lines, parts))
         yield batch_of(out)
 
     return dealt.select("lang", "prefix", "part", "n_parts", "right").mapInArrow(run, "lang string, phrase string, n long")
