@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.japanese import context_around, kanji_to_int
 from lexloom.operators.conflicts import containment_maximal
+from lexloom.operators.mentions import defined_term_citations, enumerations, find_names
 from lexloom.operators.relative import resolve
 
 N, K = "([0-9]+)", "([一二三四五六七八九十百千]+)"
@@ -117,7 +118,7 @@ GENERIC_RULES = (
 )
 BASELINE_RULES = (_one("law", "([^、。\\s（）「」]+法)第[0-9一二三四五六七八九十百千]+条", "external", 1.0), _one("article", "第[0-9一二三四五六七八九十百千]+条", "internal", 1.0))
 VERSIONS = {"statute": STATUTE_RULES, "generic": GENERIC_RULES, "baseline": BASELINE_RULES}
-SPAN = "seq int, rule string, type string, text string, start int, end int, law_name string, target string, confidence double, method string"
+SPAN = "seq int, rule string, type string, text string, start int, end int, law_name string, target string, confidence double, method string, law_start int, law_end int, context string"
 
 
 def _filled(template: str, m: re.Match) -> str:
@@ -130,10 +131,11 @@ def _filled(template: str, m: re.Match) -> str:
     return part(re.sub(r"\[([^\]]*)\]", optional, template))
 
 
-def extract(docs: DataFrame, rules: tuple[Rule, ...] = STATUTE_RULES, text: str = "text") -> DataFrame:
+def extract(docs: DataFrame, rules: tuple[Rule, ...] = STATUTE_RULES, text: str = "text", reach: int | None = None) -> DataFrame:
     """One row for each row of each match of each rule: all columns of ``docs`` but the text, then the span's.
 
-    ``seq`` is the order of emission (rule, then position); offsets are code points, end exclusive. Null and empty texts
+    ``law_start`` and ``law_end`` are the place of the law's name, ``context`` the text ``reach`` characters around the span (null
+    without ``reach``). ``seq`` is the order of emission (rule, then position); offsets are code points, end exclusive. Null and empty texts
     give no spans. Pattern matching is the one step that Spark's own functions can't do, as they give no offsets.
     """
     keep = [f for f in docs.schema if f.name != text]
@@ -150,13 +152,14 @@ def extract(docs: DataFrame, rules: tuple[Rule, ...] = STATUTE_RULES, text: str
                     for m in pattern.finditer(t):
                         for shown, target, kind, confidence, where in rule.rows:
                             shown, start = _filled(shown, m), m.start(where)
-                            law = m[rule.law_group] if rule.law_group else None
-                            rows.append((seq, rule.name, kind, shown, start, start + len(shown), law, _filled(target, m) or None, confidence, rule.method))
+                            law, place = (m[rule.law_group], m.span(rule.law_group)) if rule.law_group else (None, (None, None))
+                            around = t[max(0, start - reach) : start + len(shown) + reach] if reach is not None else None
+                            rows.append((seq, rule.name, kind, shown, start, start + len(shown), law, _filled(target, m) or None, confidence, rule.method, *place, around))
                             at.append(i)
                             seq += 1
             take = pa.array(at, pa.int64())
             cols = [batch.column(n).take(take) for n in names]
-            kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string()]
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             cols += [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(cols, names=names + [x.split()[0] for x in SPAN.split(", ")])
 
@@ -180,23 +183,56 @@ def negative_family(context: str) -> F.Column:
     return out
 
 
-def detect(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", reach: int = 30, filter_negative: bool = True) -> DataFrame:
+def _listed(docs: DataFrame, own: DataFrame, named: DataFrame, key: str, reach: int) -> DataFrame:
+    """Members of lists as spans, where the list tells more than the member: its law, or the article of a paragraph."""
+    m = enumerations(docs.select(key, "text"), key).join(named, [key, "law_end"], "left")
+    m = m.where("named_id is not null or (law_name is null and not own_article and article is not null)").where("to_article is null and to_paragraph is null and to_item is null")
+    target = F.concat(F.lit("第"), F.regexp_replace("article", "^([0-9]+)", "$1条"), F.coalesce(F.concat(F.lit("第"), "paragraph", F.lit("項")), F.lit("")), F.coalesce(F.concat(F.lit("第"), "item", F.lit("号")), F.lit("")))
+    cut = F.when(F.col("own_law") & (F.col("name_start") > F.col("start")), F.col("name_start") - F.col("start")).otherwise(0)
+    law = F.col("named_id").isNotNull()
+    spans = m.select(
+        key, (F.col("list") * 1000 + F.col("member") - 1_000_000_000).alias("seq"), F.lit("enumeration").alias("rule"), F.when(law, "external").otherwise("internal").alias("type"),
+        F.substring("text", cut + 1, F.length("text")).alias("text"), (F.col("start") + cut).alias("start"), "end", "name", target.alias("target"),
+        F.lit(0.95).alias("confidence"), F.when(law, "dictionary").otherwise("pattern").alias("method"), "named_id",
+    )
+    around = context_around("_text", "start", "end", reach)
+    return spans.join(own.select(key, F.col("text").alias("_text"), "law_id", "article", "paragraph"), key).withColumn("context", around).drop("_text")
+
+
+def detect(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", reach: int = 30, filter_negative: bool = True, bounds: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """Citations of every document: extraction, resolution, one span of those that overlap, negative contexts left out.
 
-    ``docs``: key, text, law_id, law_name, article, paragraph (the last four may be null). ``dictionary``: name, law_id.
-    Law names resolve by joining the dictionary on the name; names it doesn't have are no citations, as are articles of
-    the current law in the form for other laws. 同法 takes the last resolved law mentioned before it in the document.
+    ``docs``: key (one row each), text, law_id, law_name, article, paragraph (the last four may be null). ``dictionary``: name,
+    law_id. A law is the longest dictionary name that ends where the mention's law ends, whatever words stand before it;
+    mentions without one are no citations, as are articles of the current law in the form for other laws. Members of a list
+    take its law. 同法 takes the last resolved law mentioned before it in the document. ``terms``: key, term and stands_for,
+    terms whose articles are cited in the document (see ``definitions``). ``bounds``: law_id, last_article; citations of other
+    laws' articles beyond the last one (1000 where it is unknown) are left out, with what lies within them.
     """
-    spans = extract(docs.select(key, "text", "law_id", "law_name", "article", "paragraph").withColumnRenamed("law_name", "own_law"))
-    names = dictionary.groupBy("name").agg(F.min("law_id").alias("named_id"))
-    known = spans.join(names, spans["law_name"] == names["name"], "left").drop("name")
+    own = docs.select(key, "text", "law_id", "law_name", "article", "paragraph").withColumnRenamed("law_name", "own_law")
+    spans = extract(own, reach=reach)
+    ids = dictionary.groupBy("name").agg(F.min("law_id").alias("named_id"))
+    named = find_names(docs, dictionary, key).distinct().join(ids, "name").select(key, F.col("end").alias("law_end"), F.col("start").alias("name_start"), "name", "named_id")
+    known = spans.join(named, [key, "law_end"], "left")
     external = F.col("method") == "dictionary"
     known = known.where(~external | (F.col("named_id").isNotNull() & ((F.col("rule") != "law_article") | F.col("law_id").isNull() | (F.col("named_id") != F.col("law_id")))))
+    # words before the name are no part of the citation
+    cut = F.when(external & (F.col("name_start") > F.col("start")), F.col("name_start") - F.col("start")).otherwise(0)
+    known = known.withColumn("_cut", cut).withColumns({"text": F.substring("text", F.col("_cut") + 1, F.length("text")), "start": F.col("start") + F.col("_cut")})
+    shape = [key, "seq", "rule", "type", "text", "start", "end", "name", "target", "confidence", "method", "named_id", "law_id", "article", "paragraph", "context"]
+    known = known.select(*shape).unionByName(_listed(docs, own, named, key, reach).select(*shape))
+    if terms is not None:
+        said = defined_term_citations(docs.select(key, "text"), terms, key).join(ids, F.col("stands_for") == F.col("name")).drop("article")
+        said = said.join(own.withColumnRenamed("text", "_text"), key).select(
+            key, (F.col("start") - 2_000_000_000).alias("seq"), F.lit("defined_term").alias("rule"), F.lit("external").alias("type"), "text", "start", "end", "name", F.regexp_extract("text", "第[0-9]+条$", 0).alias("target"),
+            F.lit(0.85).alias("confidence"), F.lit("dictionary").alias("method"), "named_id", "law_id", "article", "paragraph", context_around("_text", "start", "end", reach).alias("context"),
+        )
+        known = known.unionByName(said)
     # plain articles give way to an earlier rule's span at the same place
     at_place = Window.partitionBy(key, "start").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     known = known.withColumn("_before", F.count("*").over(at_place)).where(~F.col("rule").isin("article_kanji", "article") | (F.col("_before") == 0)).drop("_before")
     before = Window.partitionBy(key).orderBy("start", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    last_law = F.last(F.when(external, F.struct("named_id", "law_name")), ignorenulls=True).over(before)
+    last_law = F.last(F.when(external, F.struct("named_id", "name")), ignorenulls=True).over(before)
     known = known.withColumn("_last", last_law)
     relative = resolve("text", "article", "paragraph", F.lit(None).cast("string"))
     solved = known.withColumn("_r", F.when(F.col("method") == "relative", relative)).where((F.col("method") != "same_law") | F.col("_last").isNotNull())
@@ -205,18 +241,13 @@ def detect(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", reach: i
         key, "seq", "rule", "type", "text", "start", "end", target_law.alias("target_law_id"),
         F.coalesce("_r.article_number", "target", F.when(F.col("type") == "contextual", F.col("article"))).alias("target_article"),
         F.coalesce("_r.paragraph_number", F.lit(None).cast("bigint")).alias("target_paragraph"),
-        F.coalesce("_r.confidence", "confidence").alias("confidence"), "method",
+        F.coalesce("_r.confidence", "confidence").alias("confidence"), "method", "context",
     )
     kept = containment_maximal(out, key)
-    if not filter_negative:
-        return kept
-    around = kept.join(docs.select(key, F.col("text").alias("_text")), key).withColumn("_context", context_around("_text", "start", "end", reach))
-    return around.where(negative_family("_context").isNull()).drop("_text", "_context")
-
-
-def expand_ranges(spans: DataFrame) -> DataFrame:
-    """Rows of range spans with kanji or arabic ends, one for each member article."""
-    ends = spans.where("type = 'range'").withColumn("_a", F.regexp_extract("target", "第([0-9一二三四五六七八九十百千]+)条", 1)).withColumn("_b", F.regexp_extract("target", "から第([0-9一二三四五六七八九十百千]+)条まで", 1))
-    value = lambda c: F.coalesce(F.expr(f"try_cast({c} as bigint)"), kanji_to_int(c))
-    both = ends.where("_a != '' and _b != ''").withColumns({"_x": value("_a"), "_y": value("_b")}).where("_x <= _y")
-    return both.withColumn("member", F.explode(F.sequence("_x", "_y"))).drop("_a", "_b", "_x", "_y")
+    if bounds is not None:
+        number = F.regexp_extract(F.col("target_article"), "([0-9一二三四五六七八九十百千]+)", 1)
+        last = bounds.select(F.col("law_id").alias("target_law_id"), "last_article")
+        # a left join on the law, so that laws of unknown length keep their citations
+        kept = kept.join(last, "target_law_id", "left").withColumn("_n", F.coalesce(number.try_cast("long"), kanji_to_int(number)))
+        kept = kept.where((F.col("type") != "external") | F.col("_n").isNull() | F.col("_n").between(1, F.coalesce("last_article", F.lit(1000)))).drop("_n", "last_article")
+    return (kept.where(negative_family("context").isNull()) if filter_negative else kept).drop("context")

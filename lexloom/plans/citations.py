@@ -166,12 +166,6 @@ def d03_detect_versions(spark, d):
     return found.select(F.col("doc_id").alias("version_id"), "text", "type", "start", "target_law_id", "target_article")
 
 
-@query()
-def c09_definitions(spark, d):
-    rows = [(1, "この法律において「事業者」とは、事業を行う者をいう。個人情報（以下「情報」という。）を扱う。"), (2, "「甲」とは、乙をいう。「甲」とは、丙をいう。")]
-    return sp.definitions(spark.createDataFrame(rows, "doc_id int, text string"))
-
-
 @query("SELECT doc_id, count(*) AS n, min(x) AS least FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[^\\s\"''<>]+')) AS x FROM (SELECT conv_id AS doc_id, text FROM conversations UNION ALL SELECT page_id, html FROM pages)) GROUP BY doc_id")
 def d01_spans_of_pages(spark, d):
     """Links in pages and conversations by the generic rules."""
