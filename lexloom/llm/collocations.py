@@ -15,7 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,11 +64,42 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows_by_lang(docs).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def projected(cut: list[list[bytes]], most_words: int) -> Iterator[tuple[bytes, list[bytes]]]:
+    """(word, fields) of the pieces' words: what stands to the right of a word's occurrences, sorted and counted.
+
+    Words are numbered within the slice, so that windows of ``most_words`` words are sorted as numbers.
+    """
+    words = list(set(chain.from_iterable(cut)))
+    number = {w: i for i, w in enumerate(words, 1)}
+    codes = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
+    sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # words from here to the piece's end
+    columns = [np.where(left > k, np.roll(codes, -k), 0) for k in range(most_words)]
+    base = len(words) + 1
+    if base**most_words < 1 << 62:
+        # a window as one number
+        packed = columns[0]
+        for c in columns[1:]:
+            packed = packed * base + c
+        packed, n = np.unique(packed, return_counts=True)
+        rows = np.stack([packed // base ** (most_words - 1 - k) % base for k in range(most_words)], axis=1)
+    else:
+        rows, n = np.unique(np.stack(columns, axis=1), axis=0, return_counts=True)
+    counts, which = np.unique(n, return_inverse=True)
+    shown = [b" ", *[w + b" " for w in words], *[b"%d " % n for n in counts.tolist()]]
+    fields = np.concatenate([rows[:, 1:], (which + len(words) + 1)[:, None]], axis=1).ravel()
+    fields = list(map(shown.__getitem__, fields.tolist()))
+    starts = np.flatnonzero(np.diff(rows[:, 0], prepend=0))
+    ends = np.append(starts, len(rows))[1:]
+    for word, a, b in zip((rows[starts, 0] - 1).tolist(), (starts * most_words).tolist(), (ends * most_words).tolist()):
+        yield words[word], fields[a:b]
+
+
 def pointers(docs: DataFrame, heavy, most_words: int) -> DataFrame:
     """(lang, prefix, part, n_parts, right): for each word of a slice, what stands to the right of its occurrences.
 
-    ``right``: lines of up to ``most_words`` - 1 words with a blank behind each, then a tab and a count where a line comes more
-    than once. ``heavy``: broadcast of (lang, word) to a number of parts.
+    ``right``: for each different right side ``most_words`` - 1 words (empty ones behind the end of a piece) and how often it comes,
+    with a blank behind each field. ``heavy``: broadcast of (lang, word) to a number of parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,77 +107,76 @@ def pointers(docs: DataFrame, heavy, most_words: int) -> DataFrame:
         for part in by_slice(batches):
             out = []
             for lang, cut in part.items():
-                found: dict[bytes, list[bytes]] = defaultdict(list)
-                for words in cut:
-                    line = b" ".join(words) + b" "
-                    starts = [0, *accumulate(len(w) + 1 for w in words), *[len(line)] * most_words]
-                    for i, word in enumerate(words, 1):
-                        found[word].append(line[starts[i] : starts[i + most_words - 1]])
-                for word, right in found.items():
+                for word, fields in projected(cut, most_words):
                     n_parts = parts_of.get((lang, word), 1)
-                    lines = right if len(right) == 1 else [x if n == 1 else b"%b\t%d" % (x, n) for x, n in Counter(right).items()]
                     if n_parts == 1:
-                        out.append((lang, word, 0, 1, b"\n".join(lines)))
+                        out.append((lang, word, 0, 1, b"".join(fields)))
                         continue
                     dealt = defaultdict(list)
-                    for x in lines:
-                        dealt[zlib.crc32(x.partition(b"\t")[0]) % n_parts].append(x)
-                    out += [(lang, word, p, n_parts, b"\n".join(y)) for p, y in dealt.items()]
+                    for i in range(0, len(fields), most_words):
+                        line = b"".join(fields[i : i + most_words - 1])
+                        dealt[zlib.crc32(line) % n_parts].append(line + fields[i + most_words - 1])
+                    out += [(lang, word, p, n_parts, b"".join(lines)) for p, lines in dealt.items()]
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["lang", "prefix", "part", "n_parts", "right"])
 
     return rows_by_lang(docs).mapInArrow(run, "lang string, prefix binary, part int, n_parts int, right binary")
 
 
-def grow(phrase: bytes, projected: list[bytes], least: int, depth: int, partial: bool) -> Iterator[tuple[bytes, int]]:
-    """(phrase, count) for every extension to the right by up to ``depth`` words that comes ``least`` times or more.
+def grow(phrase: bytes, columns: list[list[bytes]], counts: list[int], least: int, partial: bool) -> Iterator[tuple[bytes, int]]:
+    """(phrase, count) for every extension to the right that comes ``least`` times or more, depth first.
 
-    ``projected``: what stands to the right of the occurrences, lines as of ``pointers``. ``partial``: the occurrences are a part of
-    all, in which only phrases of full depth are whole; shorter ones come out with any count, to be added up.
+    ``columns``: the words to the right of the occurrences, by distance; ``counts``: how often each row stands. ``partial``: the
+    occurrences are a part of all, in which only phrases of full depth are whole; shorter ones come out with any count,
+    to be added up.
     """
-    after: dict[bytes, list[bytes]] = defaultdict(list)
-    for line in projected:
-        word, blank, rest = line.partition(b" ")
-        if blank:
-            after[word].append(rest)
-    keep = partial and depth > 1
-    for word, rests in after.items():
-        n = len(rests)
-        for rest in rests:
-            if b"\t" in rest:
-                n += int(rest.rpartition(b"\t")[2]) - 1
-        if n >= least or keep:
-            longer = phrase + b" " + word
-            yield longer, n
-            if depth > 1 and (n >= least or depth > 2):
-                yield from grow(longer, rests, least, depth - 1, partial)
+    words, rest = columns[0], columns[1:]
+    total = Counter(words)
+    for word, n in zip(words, counts):
+        if n > 1:
+            total[word] += n - 1
+    del total[b""]
+    keep = 1 if partial and rest else least
+    frequent = {w: [] for w, n in total.items() if n >= keep}
+    if rest and frequent:
+        for i, word in enumerate(words):
+            if word in frequent:
+                frequent[word].append(i)
+    for word, at in frequent.items():
+        longer = phrase + b" " + word
+        yield longer, total[word]
+        # a part in which a phrase is rare holds no longer one that is whole and frequent
+        if rest and (total[word] >= least or len(rest) > 1):
+            yield from grow(longer, [[c[i] for i in at] for c in rest], [counts[i] for i in at], least, partial)
 
 
 def grown(dealt: DataFrame, least: int, most_words: int) -> DataFrame:
     """(lang, phrase, n) of every prefix's phrases; ``dealt`` holds each (lang, prefix, part) in consecutive rows of a partition."""
 
-    def emit(key: tuple, lines: list[bytes], n_parts: int) -> Iterator[tuple]:
-        for phrase, n in grow(key[1], lines, least, most_words - 1, n_parts > 1):
-            yield key[0], phrase, n
+    def emit(key: tuple, fields: list[bytes], n_parts: int) -> Iterator[tuple]:
+        counts = list(map(int, fields[most_words - 1 :: most_words]))
+        if n_parts > 1 or sum(counts) >= least:
+            for phrase, n in grow(key[1], [fields[k::most_words] for k in range(most_words - 1)], counts, least, n_parts > 1):
+                yield key[0], phrase, n
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows)) or [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()).cast(pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lines, parts, out = None, [], 1, []
+        key, fields, parts, out = None, [], 1, []
         for batch in batches:
             for lang, prefix, part, n_parts, right in zip(*(c.to_pylist() for c in batch.columns)):
                 if (lang, prefix, part) != key:
                     if key:
-                        out.extend(emit(key, lines, parts))
-                    key, lines, parts = (lang, prefix, part), [], n_parts
-                lines += right.split(b"\n")
+                        out.extend(emit(key, fields, parts))
+                    key, fields, parts = (lang, prefix, part), [], n_parts
+                fields += right.split(b" ")[:-1]
                 if len(out) >= 50_000:
                     yield batch_of(out)
                     out = []
         if key:
-            out.extend(emit(key, lines, parts))
+            out.extend(emit(key, fields, parts))
         yield batch_of(out)
 
     return dealt.select("lang", "prefix", "part", "n_parts", "right").mapInArrow(run, "lang string, phrase string, n long")

@@ -68,5 +68,5 @@ class TestCollocations:
         assert (r.a, r.l, r.r, r.score) == (4_000_000, 4_000_000, 4_000_000, 1_000_000)
 
     def test_growth_is_right_of_the_prefix_only(self):
-        got = dict(grow(b"a", [b"b c \t3", b"b d ", b"b d ", b"b ", b"\t9", b"", b"c b "], 2, 2, False))
+        got = dict(grow(b"a", [[b"b", b"b", b"b", b"b", b"", b"", b"c"], [b"c", b"d", b"d", b"", b"", b"", b"b"]], [3, 1, 1, 1, 9, 1, 1], 2, False))
         assert got == {b"a b": 6, b"a b c": 3, b"a b d": 2}
