@@ -46,12 +46,45 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False)
     return reduce(lambda x, y: x.unionByName(y), levels).select("seed", "node", "length", "trail")
 
 
+def walk_counts(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
+    """(seed, node, length, walks): how many walks of 1..depth edges lead from a seed to a node and use no edge twice.
+
+    ``depth`` is at most 3. Walks are counted by products of multiplicities, aggregated by node at each level, so that nothing
+    grows with their number; those that repeat an edge are then taken off. Two consecutive edges are the same only
+    where a loop is walked twice; the first and third are the same only where the second leads back to the seed. So all that
+    is taken off stands among the seeds' direct neighbours.
+    """
+    if not 1 <= depth <= 3:
+        raise ValueError("walks are counted without their trails up to three edges")
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    step = shared(edges.groupBy(F.col(a).alias("node"), F.col(b).alias("next")).agg(F.count("*").alias("m")))
+    start = seeds.select(F.col("node").alias("seed"), "node", F.lit(1).cast("long").alias("n")).distinct()
+    onward = lambda front: front.join(step, "node").groupBy("seed", F.col("next").alias("node")).agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+    one = shared(onward(start))
+    levels = [one.select("seed", "node", F.lit(1).alias("length"), F.col("n").alias("walks"))]
+    if depth > 1:
+        two = onward(one)
+        loops = step.where("node = next").select("node", "m")
+        # of a seed's neighbours: loops at the seed and at the neighbour, and edges back
+        near = one.join(loops.select(F.col("node").alias("seed"), F.col("m").alias("at_seed")), "seed", "left").join(loops.withColumnRenamed("m", "at_node"), "node", "left")
+        back = step.select("node", F.col("next").alias("seed"), F.col("m").alias("back"))
+        near = near.join(back, ["node", "seed"], "left").fillna(0, ["at_seed", "at_node", "back"])
+        home = F.when(F.col("node") == F.col("seed"), F.col("at_seed")).otherwise(0)
+        near = near.select("seed", "node", home.alias("off_two"), (F.col("n") * (F.col("at_seed") + F.col("at_node") + F.col("back")) - 2 * home).alias("off_three"))
+        less = lambda found, off, length: found.join(near.select("seed", "node", off), ["seed", "node"], "left").select("seed", "node", F.lit(length).alias("length"), (F.col("n") - F.coalesce(off, F.lit(0))).alias("walks")).where("walks > 0")
+        levels.append(less(two, "off_two", 2))
+    if depth > 2:
+        levels.append(less(onward(two), "off_three", 3))
+    return reduce(lambda x, y: x.unionByName(y), levels)
+
+
 def impact_by_paths(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """(node, impact_level, path_count): what is reached against the edges, the shortest distance, and how many walks.
 
-    Walks are counted, not kept: for walks of up to two edges no edge can repeat unless it is a loop, and from three on
-    the trail is needed, so only the trail of edges is carried.
+    No edge is used twice in a walk. Up to three edges walks are counted without being kept; longer ones keep their trails.
     """
+    if depth <= 3:
+        return walk_counts(edges, seeds, depth, reverse=True).groupBy("node").agg(F.min("length").alias("impact_level"), F.sum("walks").alias("path_count"))
     found = paths(edges, seeds, depth, reverse=True)
     return found.groupBy("node").agg(F.min("length").alias("impact_level"), F.count("*").alias("path_count"))
 
@@ -73,15 +106,16 @@ def impact_by_levels(edges: DataFrame, seeds: DataFrame, depth: int = 3, least:
     strongest counts, then the least source. Seeds aren't marked as visited, so a cycle can bring a seed back.
     """
     kind = F.create_map(*[F.lit(x) for kv in IMPACT_TYPES.items() for x in kv])
-    used = edges.where(F.col("confidence") >= least).select(F.col("dst").alias("at"), F.col("src").alias("next"), "rel_type", F.col("confidence").alias("c"))
+    # one edge a pair of nodes, stored once: the strongest, then the last type by name
+    used = edges.where(F.col("confidence") >= least).groupBy(F.col("dst").alias("at"), F.col("src").alias("next")).agg(F.max(F.struct(F.col("confidence").alias("c"), "rel_type")).alias("e"))
+    used = shared(used.select("at", "next", "e.c", "e.rel_type"))
     front = seeds.select(F.col("node").alias("at"), F.array("node").alias("path")).distinct()
     visited = None
     for level in range(depth if indirect else 1):
-        rank = F.struct(F.col("c"), -F.col("at"), F.col("rel_type"))
         reached = front.join(used, "at")
         if visited is not None:
             reached = reached.join(visited.select(F.col("node").alias("next")), "next", "left_anti")
-        found = reached.groupBy(F.col("next").alias("node")).agg(F.max_by(F.struct("c", "rel_type", "path"), rank).alias("e"))
+        found = reached.groupBy(F.col("next").alias("node")).agg(F.min_by(F.struct("c", "rel_type", "path"), F.struct(-F.col("c"), F.col("at"))).alias("e"))
         found = found.select("node", F.lit(level + 1).alias("depth"), F.round(F.col("e.c") * 0.9**level, 6).alias("confidence"), F.coalesce(kind[F.col("e.rel_type")], F.lit("General")).alias("impact_type"), F.concat("e.path", F.array("node")).alias("path"))
         found = shared(found)
         visited = found if visited is None else visited.unionByName(found)
@@ -108,12 +142,21 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(a, b, c): directed cycles a -> b -> c -> a with a < b and a < c, each once."""
-    e = edges.where("src != dst").select("src", "dst").distinct()
-    ab = e.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    bc = e.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    ca = e.where("src > dst").select(F.col("src").alias("c"), F.col("dst").alias("a"))
-    return ab.join(bc, "b").where("c > a").join(ca, ["c", "a"], "left_semi").select("a", "b", "c")
+    """(a, b, c): directed cycles a -> b -> c -> a with a < b and a < c, each once.
+
+    Each cycle is found at its node of least degree: only edges to nodes of higher degree meet there, at most some root
+    of twice the edges for any node, so a hub's edges are not paired with one another.
+    """
+    e = shared(edges.where("src != dst").select("src", "dst").distinct())
+    degree = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    at = lambda end: degree.select(F.col("node").alias(end), F.struct("n", F.col("node").alias("id")).alias(f"{end}_rank"))
+    ranked = shared(e.join(at("src"), "src").join(at("dst"), "dst"))
+    out = ranked.where("src_rank < dst_rank").select(F.col("src").alias("v"), F.col("dst").alias("w"))
+    into = ranked.where("src_rank > dst_rank").select(F.col("dst").alias("v"), F.col("src").alias("u"))
+    closed = out.join(into, "v").where("u != w").join(e.select(F.col("src").alias("w"), F.col("dst").alias("u")), ["w", "u"], "left_semi")
+    turn = lambda x, y, z: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(z).alias("c"))
+    least = F.least("v", "w", "u")
+    return closed.select(F.when(F.col("v") == least, turn("v", "w", "u")).when(F.col("w") == least, turn("w", "u", "v")).otherwise(turn("u", "v", "w")).alias("t")).select("t.*")
 
 
 def density(edges: DataFrame, owner: DataFrame) -> DataFrame:

@@ -61,24 +61,38 @@ def g04_impact_scored(spark, d):
     return found.join(nodes(spark, d).select(F.col("node_id").alias("node"), "law", "title"), "node")
 
 
-@query(T("WITH e2 AS (SELECT * FROM edges WHERE rel_type = 'APPLIES'), p AS (SELECT dst AS node, 1 AS length FROM e2 WHERE src = 5 UNION ALL SELECT e2.dst, p.length + 1 FROM p JOIN e2 ON e2.src = p.node WHERE p.length < 2) SELECT node, max(length)::INTEGER AS longest, count(*) AS chains FROM p GROUP BY node", "edges", recursive=True))
+_CHAIN = """e2 AS (SELECT * FROM edges WHERE rel_type = 'APPLIES'), p AS (
+  SELECT dst AS node, 1 AS length, [[src, dst]] AS trail FROM e2 WHERE src = 5
+  UNION ALL SELECT e2.dst, p.length + 1, list_append(p.trail, [e2.src, e2.dst]) FROM p JOIN e2 ON e2.src = p.node WHERE p.length < 5 AND NOT list_contains(p.trail, [e2.src, e2.dst]))"""
+
+
+@query(T(f"WITH {_CHAIN} SELECT node, min(length)::INTEGER AS shortest, max(length)::INTEGER AS longest, count(*) AS chains FROM p GROUP BY node", "edges", recursive=True))
 def g05_chains(spark, d):
-    """Reference chains over one edge type; chains of two edges can't repeat an edge unless it is a loop at the seed."""
-    found = g.paths(edges(spark, d).where("rel_type = 'APPLIES'"), seed(spark), 2)
-    return found.groupBy("node").agg(F.max("length").alias("longest"), F.count("*").alias("chains"))
+    """Reference chains of one to five edges of one type, none used twice."""
+    found = g.paths(edges(spark, d).where("rel_type = 'APPLIES'"), seed(spark), 5)
+    return found.groupBy("node").agg(F.min("length").alias("shortest"), F.max("length").alias("longest"), F.count("*").alias("chains"))
+
+
+_SAME = "({0}.src = {1}.src AND {0}.dst = {1}.dst AND {0}.rel_type = {1}.rel_type)"
 
 
-@query(T("SELECT a.src AS first, b.dst AS last, count(*) AS chains FROM edges a JOIN edges b ON b.src = a.dst WHERE a.confidence >= 0.95 AND b.confidence >= 0.95 AND NOT (a.src = b.src AND a.dst = b.dst AND a.rel_type = b.rel_type) GROUP BY ALL", "edges"))
+@query(
+    T(
+        f"WITH s AS (SELECT src, dst, rel_type FROM edges WHERE confidence >= 0.95), x AS (SELECT src AS first, dst AS last, 1 AS length FROM s UNION ALL SELECT a.src, b.dst, 2 FROM s a JOIN s b ON b.src = a.dst WHERE NOT {_SAME.format('a', 'b')} "
+        f"UNION ALL SELECT a.src, c.dst, 3 FROM s a JOIN s b ON b.src = a.dst JOIN s c ON c.src = b.dst WHERE NOT {_SAME.format('a', 'b')} AND NOT {_SAME.format('b', 'c')} AND NOT {_SAME.format('a', 'c')}) SELECT first, last, length, count(*) AS chains FROM x GROUP BY ALL",
+        "edges",
+    )
+)
 def g06_strong_chains(spark, d):
-    """Every edge of the chain passes a predicate: edges are filtered before they are joined."""
+    """Chains of one to three edges from every node, each edge passing a predicate: edges are filtered before they are joined."""
     strong = edges(spark, d).where("confidence >= 0.95")
-    found = g.paths(strong, strong.select(F.col("src").alias("node")).distinct(), 2).where("length = 2")
-    return found.groupBy(F.col("seed").alias("first"), F.col("node").alias("last")).agg(F.count("*").alias("chains"))
+    found = g.walk_counts(strong, strong.select(F.col("src").alias("node")).distinct(), 3)
+    return found.select(F.col("seed").alias("first"), F.col("node").alias("last"), "length", F.col("walks").alias("chains"))
 
 
 @query(T(f"WITH {_STEPS} SELECT length::INTEGER AS length, count(*) AS n FROM p GROUP BY length", "edges", recursive=True))
 def g07_depths(spark, d):
-    return g.paths(edges(spark, d), seed(spark), 3, reverse=True).groupBy("length").agg(F.count("*").alias("n"))
+    return g.walk_counts(edges(spark, d), seed(spark), 3, reverse=True).groupBy("length").agg(F.sum("walks").alias("n"))
 
 
 @query(T("WITH x AS (SELECT src AS node, 0 AS i, 1 AS o FROM edges WHERE src <> dst UNION ALL SELECT dst, 1, 0 FROM edges WHERE src <> dst) SELECT node, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree FROM x GROUP BY node ORDER BY in_degree DESC, node LIMIT 10", "edges"))
