@@ -26,13 +26,19 @@ def strongest_by(spans: DataFrame, keys: list[str], value: str = "confidence") -
 
 
 def by_priority(spans: DataFrame, key: str = "doc_id", weak: int = 5) -> DataFrame:
-    """Internal spans of priority up to ``weak`` go if a span of higher priority covers them; then one per (start, end, target).
+    """Internal spans of priority 0 to ``weak`` go if a span of higher priority covers them; then one per (start, end, target).
 
-    Columns: priority, type, target, is_range_member besides the span's. Range members always stay.
+    Columns: priority (a whole number), type, target, is_range_member besides the span's. Range members always stay. One sort
+    by document: what precedes a span by (start, longest, highest priority) covers it if it reaches the span's end, so a
+    running maximum of the end for each weak priority, over spans of higher priority, tells all.
     """
-    a, b = spans.alias("a"), spans.select(key, "start", "end", "priority").alias("b")
-    covered = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("b.start") <= F.col("a.start")) & (F.col("b.end") >= F.col("a.end")) & (F.col("b.priority") > F.col("a.priority")) & (F.col("a.type") == "internal") & (F.col("a.priority") <= weak) & ~F.col("a.is_range_member")
-    kept = a.join(b, covered, "left_anti")
+    before = Window.partitionBy(key).orderBy("start", F.desc("end"), F.desc("priority"), "seq").rowsBetween(Window.unboundedPreceding, -1)
+    reach = {f"_reach{p}": F.max(F.when(F.col("priority") > p, F.col("end"))).over(before) for p in range(weak + 1)}
+    own = F.lit(None).cast(spans.schema["end"].dataType)
+    for p in range(weak + 1):
+        own = F.when(F.col("priority") == p, F.col(f"_reach{p}")).otherwise(own)
+    covered = (F.col("type") == "internal") & (F.col("priority") <= weak) & ~F.col("is_range_member") & F.coalesce(own >= F.col("end"), F.lit(False))
+    kept = spans.withColumns(reach).where(~covered).select(*spans.columns)
     return first_by(kept, [key, "start", "end", "target"], [F.desc("priority"), "seq"])
 
 

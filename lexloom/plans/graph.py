@@ -143,10 +143,16 @@ def g16_subgraph(spark, d):
     return g.subgraph(spark, edges(spark, d), nodes(spark, d), "Brand#2").select("src", "dst", "rel_type", "src_title", "dst_title")
 
 
-@query(T("WITH x AS (SELECT src, dst FROM edges WHERE confidence = 1 AND rel_type = 'REPLACES' AND mentions = 1 AND position < 4), b AS (SELECT src AS a, dst AS b FROM x UNION SELECT dst, src FROM x), r AS (SELECT a AS node, a AS m FROM b UNION SELECT r.node, b.b FROM r JOIN b ON b.a = r.m) SELECT node, min(m) AS component FROM r GROUP BY node", "edges", recursive=True))
+@query(
+    T(
+        "WITH b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r(node, m) USING KEY (node) AS (SELECT DISTINCT a, a FROM b "
+        "UNION SELECT b.b, min(r.m) FROM r JOIN b ON b.a = r.node JOIN recurring.r AS o ON o.node = b.b WHERE r.m < o.m GROUP BY b.b) SELECT node, m AS component FROM r",
+        "edges", recursive=True,
+    )
+)
 def g17_components(spark, d):
-    """Weakly connected components of a sparse part of the graph."""
-    return g.connected(edges(spark, d).where("confidence = 1 and rel_type = 'REPLACES' and mentions = 1 and position < 4"))
+    """Weakly connected components of the whole graph."""
+    return g.connected(edges(spark, d))
 
 
 @query(T("SELECT l.law_id, count(DISTINCT v.version_id) AS versions FROM laws l LEFT JOIN versions v USING (law_id) GROUP BY l.law_id", "laws", "versions"))

@@ -103,8 +103,8 @@ def j14_substring(spark, d):
     n = laws(spark, d)
     short = n.select(F.replace("title", F.lit("Customer"), F.lit("")).alias("part"), F.col("law_id").alias("m"))
     lengths = short.select(F.length("part").alias("n")).distinct()
-    # as many rows as there are different lengths: a handful, checked by the limit of a name's length
-    parts = n.join(F.broadcast(lengths.where("n <= 500"))).where(F.length("title") >= F.col("n"))
+    # the different lengths are one row: an array no longer than the longest name
+    parts = n.join(F.broadcast(lengths.agg(F.collect_set("n").alias("all")))).select("law_id", "title", F.explode(F.filter("all", lambda x: x <= F.length("title"))).alias("n"))
     parts = parts.select("law_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("title") - F.col("n") + 1), lambda i: F.substring(F.col("title"), i, F.col("n")))).alias("part"))
     return parts.join(short, "part").groupBy("law_id").agg(F.min("m").alias("matched"))
 
@@ -163,15 +163,6 @@ def t04_hard_cap(spark, d):
 _MIXED = (("10", 1), ("二", 2), ("三の二", 3), ("九", 4), ("x", 5), ("2", 6))
 
 
-@query("SELECT * FROM (VALUES (1, '2'), (2, '二'), (3, '三の二'), (4, '九'), (5, '10'), (6, 'x')) AS t(place, number)")
-def t06_article_order(spark, d):
-    """Arabic and kanji article numbers in one order."""
-    from pyspark.sql import Window
-
-    df = spark.createDataFrame(list(_MIXED), "number string, i int").withColumn("whole", F.lit(1))
-    return df.select(F.row_number().over(Window.partitionBy("whole").orderBy(*jp.article_order("number"))).alias("place"), "number")
-
-
 @query(T("SELECT node_id FROM nodes ORDER BY md5('7:' || node_id), node_id LIMIT 50", "nodes"))
 def t09_seeded_sample(spark, d):
     """A sample of fifty: the least by a seeded hash, the same in every run."""
@@ -200,19 +191,6 @@ def f11_law_id_parts(spark, d):
     return df.select("law_id", "p.era_year", "p.type_code", "p.number", jp.law_type_of("law_id").alias("kind"))
 
 
-@query("SELECT * FROM (VALUES ('労働に関する法律', '労働法', '労働に関する法律'), ('甲 （乙） 附則', '甲 （乙） 附則', '甲(乙)付則')) AS t(title, short, key)")
-def f13_titles(spark, d):
-    df = spark.createDataFrame([("労働に関する法律",), ("甲 （乙） 附則",)], "title string")
-    return df.select("title", jp.short_title("title").alias("short"), jp.title_key("title").alias("key"))
-
-
-@query("SELECT * FROM (VALUES (1, 0, 2, '民訴', '民事訴訟法'), (1, 4, 7, '労基法', '労働基準法')) AS t(doc_id, start, stop, text, full_name)")
-def f16_abbreviations(spark, d):
-    docs = spark.createDataFrame([(1, "民訴及び労基法")], "doc_id int, text string")
-    found = expand_abbreviations(docs, [("民訴", "民事訴訟法"), ("労基法", "労働基準法"), ("労基", "労働基準法")])
-    return found.select("doc_id", "start", F.col("end").alias("stop"), "text", F.col("full").alias("full_name"))
-
-
 @query("SELECT doc_id, (length(substr(text, 1, 300)) - length(replace(substr(text, 1, 300), chr(10), '')) + 1) AS line, length(string_split(substr(text, 1, 300), chr(10))[-1]) AS col FROM documents")
 def f21_line_and_column(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -226,15 +204,6 @@ def f28_link_targets(spark, d):
     return e.select("src", "dst", jp.link_target(law, F.col("dst").cast("string"), F.lit("own")).alias("target"))
 
 
-@query("SELECT * FROM (VALUES (1, '[民法]と[第3条]を'), (2, '無し')) AS t(doc_id, shown)")
-def f29_auto_links(spark, d):
-    """A text cut at its references, linked parts in brackets."""
-    docs = spark.createDataFrame([(1, "民法と第3条を"), (2, "無し"), (3, None)], "doc_id int, text string")
-    spans = spark.createDataFrame([(1, 0, 2), (1, 3, 6), (1, 4, 6)], "doc_id int, start int, end int")
-    shown = F.array_join(F.transform("segments", lambda s: F.when(s["is_link"], F.concat(F.lit("["), s["text"], F.lit("]"))).otherwise(s["text"])), "")
-    return segments(docs, spans).select("doc_id", shown.alias("shown"))
-
-
 @query(T("SELECT rel_type, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM edges GROUP BY ALL", "edges"))
 def f30_confidence_bands(spark, d):
     return edges(spark, d).groupBy("rel_type", jp.confidence_band("confidence").alias("band")).agg(F.count("*").alias("n"))
@@ -251,12 +220,6 @@ def f33_state_changes(spark, d):
 _BASE = (("民法第3条による。", 2), ("第五条と商法第九条", 3), ("無し", 0))
 
 
-@query(f"SELECT * FROM (VALUES {_rows((i, n) for i, (_, n) in enumerate(_BASE) if n)}) AS t(doc_id, n)")
-def e05_baseline_spans(spark, d):
-    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_BASE)], "doc_id int, text string")
-    return sp.extract(docs, sp.BASELINE_RULES).groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
-
-
 @query(T("SELECT round(count(*) FILTER (flag = 'R') / count(*), 6) AS filter_rate FROM articles", "articles"))
 def e07_filter_rate(spark, d):
     return articles(spark, d).agg(F.round(F.count_if(F.col("flag") == "R") / F.count("*"), 6).alias("filter_rate"))
