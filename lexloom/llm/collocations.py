@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Scratch
 
 #: Texts are handled in slices of about so many bytes, and tasks of the growth are made for about so many pointers.
-SLICE, POINTERS = 8_000_000, 4_000_000
+SLICE, POINTERS = 16_000_000, 4_000_000
 #: A-Z to a-z, separators of pieces to line feeds, tabs to blanks.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
 
