@@ -43,3 +43,10 @@ def count_ratio(found: Column, wanted: Column) -> tuple[Column, Column]:
 
 def mapping_accuracy(resolved: Column, total: Column) -> Column:
     return F.when(total > 0, 100.0 * resolved / total).otherwise(F.lit(100.0))
+
+
+def case_scores(detected: DataFrame, expected: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, precision, recall, f1, passed) of each case, over its distinct texts; a case passes if nothing is missed or extra."""
+    o = text_overlap(detected, expected, key)
+    p, r = ratio(F.col("matched"), F.col("matched") + F.col("extra")), ratio(F.col("matched"), F.col("matched") + F.col("missed"))
+    return o.select(key, F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1(p, r), 6).alias("f1"), ((p == 1) & (r == 1)).alias("passed"))

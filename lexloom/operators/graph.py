@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources.folders import shared_folder
+
 
 def shared(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's checkpoint folder, so that loops over levels don't grow the plan.
 
     Where no folder is named, a local session gets a temporary one; on a cluster that is an error, as machines don't share it.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

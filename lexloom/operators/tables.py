@@ -64,3 +64,30 @@ def invalid(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def write_parts(df: DataFrame, path: str, part: str) -> None:
     """Overwrite only the parts that ``df`` has; others stay."""
     df.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(part).parquet(path)
+
+
+def replace_references(target: DataFrame, found: DataFrame, owner: str) -> DataFrame:
+    """``target`` without the rows of any owner that ``found`` has, and the different rows of ``found``.
+
+    An owner of which nothing was found keeps its rows: it was not read anew. Null owners keep theirs too.
+    """
+    kept = target.join(found.select(owner).distinct(), owner, "left_anti").select(*target.columns)
+    return kept.unionByName(found.select(*target.columns).distinct())
+
+
+def flat_references(nested: DataFrame) -> DataFrame:
+    """Nested references (source, target, metadata) as flat columns; a field that the structs don't have is null."""
+    fields = {
+        "source_law": "source.structural.law_id", "source_article": "source.structural.article_number", "start": "source.position.start", "end": "source.position.end", "line": "source.position.line",
+        "target_law": "target.structural.law_id", "target_article": "target.structural.article_number", "type": "metadata.type", "confidence": "metadata.confidence", "method": "metadata.method",
+    }
+
+    def there(path: str) -> bool:
+        kind = nested.schema
+        for name in path.split("."):
+            if name not in getattr(kind, "names", ()):
+                return False
+            kind = kind[name].dataType
+        return True
+
+    return nested.select(*[(F.col(path) if there(path) else F.lit(None)).alias(name) for name, path in fields.items()])

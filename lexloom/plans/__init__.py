@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relational", "graph", "citations", "mentions", "made", "maintenance", "more", "streams")
+MODULES = ("relational", "graph", "citations", "mentions", "made", "files", "maintenance", "more", "streams")
 
 
 def load() -> None:

@@ -9,7 +9,6 @@ from lexloom.operators import spans as sp
 from lexloom.operators.conflicts import first_by
 from lexloom.operators.text_links import expand_abbreviations, segments
 from lexloom.plans.catalog import query
-from lexloom.plans.citations import _rows
 from lexloom.sources import statutes
 from lexloom.sources.tables import articles, edges, laws, nodes, versions, with_tables
 
@@ -160,9 +159,6 @@ def t04_hard_cap(spark, d):
     return edges(spark, d).orderBy("position", "src", "dst", "rel_type").limit(100).select("src", "dst", "rel_type")
 
 
-_MIXED = (("10", 1), ("二", 2), ("三の二", 3), ("九", 4), ("x", 5), ("2", 6))
-
-
 @query(T("SELECT node_id FROM nodes ORDER BY md5('7:' || node_id), node_id LIMIT 50", "nodes"))
 def t09_seeded_sample(spark, d):
     """A sample of fifty: the least by a seeded hash, the same in every run."""
@@ -217,9 +213,6 @@ def f33_state_changes(spark, d):
     return versions(spark, d).select("version_id", F.when(s == "P", "in force").when(s == "F", "repealed").otherwise(s).alias("state"), confidence.alias("confidence"), (confidence < 0.7).alias("needs_review"))
 
 
-_BASE = (("民法第3条による。", 2), ("第五条と商法第九条", 3), ("無し", 0))
-
-
 @query(T("SELECT round(count(*) FILTER (flag = 'R') / count(*), 6) AS filter_rate FROM articles", "articles"))
 def e07_filter_rate(spark, d):
     return articles(spark, d).agg(F.round(F.count_if(F.col("flag") == "R") / F.count("*"), 6).alias("filter_rate"))

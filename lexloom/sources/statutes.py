@@ -137,6 +137,22 @@ def law_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"c{i}").alias(n) for n, i in LIST_COLUMNS.items()]).where("coalesce(law_id, '') != '' and coalesce(title, '') != ''")
 
 
+#: Header names of a law list's id and title, and those used in their place.
+NAMED_COLUMNS = {"law_id": ("法令ID", "law_id"), "title": ("法令名", "law_title")}
+
+
+def law_list_named(spark: SparkSession, path: str) -> DataFrame:
+    """(law_id, title, short) of a law list with a header; an empty field falls back to the other name's column.
+
+    ``short`` is the title without bracketed parts, null where it has none. Rows without id or title are left out.
+    """
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    first = lambda names: F.coalesce(*[F.nullif(F.col(f"`{n}`"), F.lit("")) for n in names if n in raw.columns], F.lit(None).cast("string"))
+    rows = raw.select(*[first(names).alias(c) for c, names in NAMED_COLUMNS.items()]).where("law_id is not null and title is not null")
+    short = F.trim(F.regexp_replace("title", "（.+）", ""))
+    return rows.withColumn("short", F.when(short != F.col("title"), short))
+
+
 def latest_file(files: DataFrame, law_id: str = "law_id", name: str = "name") -> DataFrame:
     """The greatest file name of each law: its newest version."""
     return files.groupBy(law_id).agg(F.max(name).alias(name))
