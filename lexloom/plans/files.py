@@ -11,12 +11,22 @@ from lexloom.operators.tables import flat_references, replace_references
 from lexloom.plans.catalog import query
 from lexloom.plans.made import w
 from lexloom.sources.folders import new_path
-from lexloom.sources.statutes import batch_results, law_list, law_list_named
+from lexloom.sources.statutes import batch_results, law_list, law_list_named, page_of_files
 from lexloom.sources.tables import articles, edges, laws, versions, with_tables
 
 T = with_tables
 
 
+@query(T("WITH n AS (SELECT count(*) AS n FROM laws) SELECT law_id, title, (SELECT n FROM n) > 120 AS has_more, CASE WHEN (SELECT n FROM n) > 120 THEN 120 END AS next_offset FROM laws ORDER BY lpad(law_id::VARCHAR, 12, '0') LIMIT 80 OFFSET 40", "laws"))
+def s07_page_of_files(spark, d):
+    """One XML file for each law, and the page of eighty files from the forty-first on, by name."""
+    path = new_path(spark, "statutes")
+    number = F.lpad(F.col("law_id").cast("string"), 12, "0")
+    laws(spark, d).select(number.alias("law"), w('<Law Num="', F.col("law_id"), '"><LawTitle>', F.col("title"), "</LawTitle></Law>").alias("value")).repartition("law").write.partitionBy("law").text(path)
+    page = page_of_files(spark, path, 40, 80)
+    return page.select(F.regexp_extract("xml", 'Num="([0-9]+)"', 1).cast("long").alias("law_id"), F.regexp_extract("xml", "<LawTitle>(.*?)</LawTitle>", 1).alias("title"), "has_more", "next_offset")
+
+
 @query(T("SELECT 'A,' || law_id AS law_id, title || ', \"' || law_type || '\"' AS title, law_type, ministry::VARCHAR AS law_number FROM laws WHERE law_id % 10 <> 0", "laws"))
 def s10_law_list(spark, d):
     """A law list of quoted fields with commas and quotes, by position; rows without an id are left out."""

@@ -137,6 +137,21 @@ def law_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f"c{i}").alias(n) for n, i in LIST_COLUMNS.items()]).where("coalesce(law_id, '') != '' and coalesce(title, '') != ''")
 
 
+def page_of_files(spark: SparkSession, folder: str, offset: int = 0, limit: int = 1000) -> DataFrame:
+    """(path, xml, has_more, next_offset): a page of a folder's files in the order of their paths, each file's text in a row.
+
+    Files are listed by Spark's own reader, which opens none of them, so any store that it reaches will do; only the page's
+    files, at most ``limit``, are read. An offset beyond the last file gives no rows.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    page = [r.path for r in listed.orderBy("path").offset(offset).limit(limit + 1).collect()]
+    more = len(page) > limit
+    if not page:
+        return spark.createDataFrame([], "path string, xml string, has_more boolean, next_offset int")
+    read = spark.read.option("wholetext", True).text(page[:limit]).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
+    return read.select("path", "xml", F.lit(more).alias("has_more"), F.lit(offset + limit if more else None).cast("int").alias("next_offset"))
+
+
 #: Header names of a law list's id and title, and those used in their place.
 NAMED_COLUMNS = {"law_id": ("法令ID", "law_id"), "title": ("法令名", "law_title")}
 

@@ -10,7 +10,7 @@ from lexloom.operators.evaluation import case_scores
 from lexloom.operators.rulesets import compare_versions, rule_table, rules_of
 from lexloom.operators.spans import VERSIONS
 from lexloom.operators.tables import flat_references, replace_references
-from lexloom.sources.statutes import law_list_named
+from lexloom.sources.statutes import law_list_named, page_of_files
 
 
 def test_escapes(spark):
@@ -59,3 +59,12 @@ def test_law_list_by_either_name(spark, tmp_path):
     path.write_text('法令ID,法令名,law_id,law_title\n1,"甲法（乙）",,\n,,2,丙法\n3,,,\n,無し,,\n', encoding="utf-8")
     got = sorted(tuple(r) for r in law_list_named(spark, str(path)).collect())
     assert got == [("1", "甲法（乙）", "甲法"), ("2", "丙法", None)]
+
+
+def test_pages_of_files(spark, tmp_path):
+    for i in (3, 1, 2, 10):
+        (tmp_path / f"law{i:03}.xml").write_text(f"<Law>{i}</Law>", encoding="utf-8")
+    page = lambda offset, limit: [(r.xml, r.has_more, r.next_offset) for r in page_of_files(spark, str(tmp_path), offset, limit).orderBy("path").collect()]
+    assert page(0, 3) == [("<Law>1</Law>", True, 3), ("<Law>2</Law>", True, 3), ("<Law>3</Law>", True, 3)]
+    assert page(3, 3) == [("<Law>10</Law>", False, None)]
+    assert page(9, 3) == []
