@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import Scratch
 
 #: Texts are handled in slices of about so many bytes, and tasks of the growth are made for about so many pointers.
-SLICE, POINTERS = 16_000_000, 4_000_000
+SLICE, POINTERS = 8_000_000, 4_000_000
 #: A-Z to a-z, separators of pieces to line feeds, tabs to blanks.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
 
@@ -69,9 +69,10 @@ def projected(cut: list[list[bytes]], most_words: int) -> Iterator[tuple[bytes,
 
     Words are numbered within the slice, so that windows of ``most_words`` words are sorted as numbers.
     """
-    words = list(set(chain.from_iterable(cut)))
+    flat = list(chain.from_iterable(cut))
+    words = list(set(flat))
     number = {w: i for i, w in enumerate(words, 1)}
-    codes = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
+    codes = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
     sizes = np.fromiter(map(len, cut), np.int64, len(cut))
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # words from here to the piece's end
     columns = [np.where(left > k, np.roll(codes, -k), 0) for k in range(most_words)]
@@ -96,8 +97,9 @@ def projected(cut: list[list[bytes]], most_words: int) -> Iterator[tuple[bytes,
 
 
 def pointers(docs: DataFrame, heavy, most_words: int) -> DataFrame:
-    """(lang, prefix, part, n_parts, right): for each word of a slice, what stands to the right of its occurrences.
+    """(prefix, part, right): for each word of a slice, what stands to the right of its occurrences.
 
+    ``prefix``: language and word, a line feed between them; ``part``: -1, or the part of a heavy prefix that the row belongs to.
     ``right``: for each different right side ``most_words`` - 1 words (empty ones behind the end of a piece) and how often it comes,
     with a blank behind each field. ``heavy``: broadcast of (lang, word) to a number of parts.
     """
@@ -107,20 +109,22 @@ def pointers(docs: DataFrame, heavy, most_words: int) -> DataFrame:
         for part in by_slice(batches):
             out = []
             for lang, cut in part.items():
+                before = lang.encode() + b"\n"
                 for word, fields in projected(cut, most_words):
                     n_parts = parts_of.get((lang, word), 1)
+                    prefix = before + word
                     if n_parts == 1:
-                        out.append((lang, word, 0, 1, b"".join(fields)))
+                        out.append((prefix, -1, b"".join(fields)))
                         continue
                     dealt = defaultdict(list)
                     for i in range(0, len(fields), most_words):
                         line = b"".join(fields[i : i + most_words - 1])
                         dealt[zlib.crc32(line) % n_parts].append(line + fields[i + most_words - 1])
-                    out += [(lang, word, p, n_parts, b"".join(lines)) for p, lines in dealt.items()]
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())], names=["lang", "prefix", "part", "n_parts", "right"])
+                    out += [(prefix, p, b"".join(lines)) for p, lines in dealt.items()]
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["prefix", "part", "right"])
 
-    return rows_by_lang(docs).mapInArrow(run, "lang string, prefix binary, part int, n_parts int, right binary")
+    return rows_by_lang(docs).mapInArrow(run, "prefix binary, part int, right binary")
 
 
 def grow(phrase: bytes, columns: list[list[bytes]], counts: list[int], least: int, partial: bool) -> Iterator[tuple[bytes, int]]:
@@ -132,9 +136,10 @@ def grow(phrase: bytes, columns: list[list[bytes]], counts: list[int], least: in
     """
     words, rest = columns[0], columns[1:]
     total = Counter(words)
-    for word, n in zip(words, counts):
-        if n > 1:
-            total[word] += n - 1
+    if sum(counts) > len(counts):
+        for word, n in zip(words, counts):
+            if n > 1:
+                total[word] += n - 1
     del total[b""]
     keep = 1 if partial and rest else least
     frequent = {w: [] for w, n in total.items() if n >= keep}
@@ -151,35 +156,39 @@ def grow(phrase: bytes, columns: list[list[bytes]], counts: list[int], least: in
 
 
 def grown(dealt: DataFrame, least: int, most_words: int) -> DataFrame:
-    """(lang, phrase, n) of every prefix's phrases; ``dealt`` holds each (lang, prefix, part) in consecutive rows of a partition."""
+    """(lang, phrase, n) of every prefix's phrases; ``dealt`` holds each (prefix, part) in consecutive rows of a partition."""
 
-    def emit(key: tuple, fields: list[bytes], n_parts: int) -> Iterator[tuple]:
-        counts = list(map(int, fields[most_words - 1 :: most_words]))
-        if n_parts > 1 or sum(counts) >= least:
-            for phrase, n in grow(key[1], [fields[k::most_words] for k in range(most_words - 1)], counts, least, n_parts > 1):
-                yield key[0], phrase, n
+    def emit(key: tuple, fields: list[bytes]) -> Iterator[tuple]:
+        counts = [small.get(n) or int(n) for n in fields[most_words - 1 :: most_words]]
+        if key[1] >= 0 or sum(counts) >= least:
+            lang, _, word = key[0].rpartition(b"\n")
+            for phrase, n in grow(word, [fields[k::most_words] for k in range(most_words - 1)], counts, least, key[1] >= 0):
+                yield lang, phrase, n
+
+    small = {b"%d" % n: n for n in range(1, 1000)}
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()).cast(pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "phrase", "n"])
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()).cast(pa.string()) for c in cols[:2]], pa.array(cols[2], pa.int64())], names=["lang", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fields, parts, out = None, [], 1, []
+        key, fields, out = None, [], []
         for batch in batches:
-            for lang, prefix, part, n_parts, right in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, prefix, part) != key:
+            for prefix, part, right in zip(*(c.to_pylist() for c in batch.columns)):
+                if (prefix, part) != key:
                     if key:
-                        out.extend(emit(key, fields, parts))
-                    key, fields, parts = (lang, prefix, part), [], n_parts
-                fields += right.split(b" ")[:-1]
+                        out.extend(emit(key, fields))
+                    key, fields = (prefix, part), []
+                fields.extend(right.split(b" "))
+                fields.pop()  # what stands behind the last blank
                 if len(out) >= 50_000:
                     yield batch_of(out)
                     out = []
         if key:
-            out.extend(emit(key, fields, parts))
+            out.extend(emit(key, fields))
         yield batch_of(out)
 
-    return dealt.select("lang", "prefix", "part", "n_parts", "right").mapInArrow(run, "lang string, phrase string, n long")
+    return dealt.select("prefix", "part", "right").mapInArrow(run, "lang string, phrase string, n long")
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 10, most_words: int = 3, pointers_a_task: int = POINTERS) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +202,7 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = 10, most_wo
     unit = total / (4 * tasks)
     heavy = {(r.lang, r.word.encode()): int(r.n / unit) + 1 for r in words.where(F.col("n") > unit).collect()} if total else {}
     shared = spark.sparkContext.broadcast(heavy)
-    dealt = pointers(docs, shared, most_words).repartition(tasks, "lang", "prefix", "part").sortWithinPartitions("lang", "prefix", "part")
+    dealt = pointers(docs, shared, most_words).repartition(tasks, "prefix", "part").sortWithinPartitions("prefix", "part")
     longer = grown(dealt, least, most_words).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     single = words.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))
     every = scratch.write(longer.unionByName(single).withColumn("words", F.split("phrase", " ")), "collocation-phrases")
