@@ -21,17 +21,18 @@ _PLACE = ("article_number", "node_id", "chapter", "flag", "length")
 def _statutes(spark, d):
     """A statute XML of each version: its articles in one chapter, items under those that apply, and reference tags."""
     a = articles(spark, d).withColumn("length", F.col("length").cast("int"))
-    x = lambda c: F.col("x")[c].cast("string")
+
+    def one(r):
+        x = lambda c: r[c].cast("string")
+        item = F.concat(F.lit("<Item Num='1'><ItemTitle>一</ItemTitle><ItemSentence><Sentence>丙"), x("length"), F.lit("</Sentence></ItemSentence><Subitem1 Num='1'><Subitem1Title>イ</Subitem1Title><Subitem1Sentence><Sentence>丁"), x("chapter"), F.lit("</Sentence></Subitem1Sentence></Subitem1></Item>"))
+        first = F.when(x("flag") == "R", F.lit("削除")).otherwise(F.concat(F.lit("甲"), x("node_id"), F.lit("。")))
+        return F.concat(
+            F.lit("<Article Num='"), x("article_number"), F.lit("'><ArticleTitle>第"), x("article_number"), F.lit("条</ArticleTitle><Paragraph Num='1'><ParagraphSentence><Sentence>"), first,
+            F.lit("</Sentence><Sentence>乙"), x("chapter"), F.lit("。</Sentence></ParagraphSentence>"), F.when(x("flag") == "A", item).otherwise(F.lit("")), F.lit("</Paragraph></Article>"),
+        )
+
     held = a.groupBy("version_id").agg(F.sort_array(F.collect_list(F.struct(*_PLACE))).alias("all"))
-    held = held.select("version_id", F.explode_outer("all").alias("x"))
-    item = F.concat(F.lit("<Item Num='1'><ItemTitle>一</ItemTitle><ItemSentence><Sentence>丙"), x("length"), F.lit("</Sentence></ItemSentence><Subitem1 Num='1'><Subitem1Title>イ</Subitem1Title><Subitem1Sentence><Sentence>丁"), x("chapter"), F.lit("</Sentence></Subitem1Sentence></Subitem1></Item>"))
-    first = F.when(x("flag") == "R", F.lit("削除")).otherwise(F.concat(F.lit("甲"), x("node_id"), F.lit("。")))
-    one = F.concat(
-        F.lit("<Article Num='"), x("article_number"), F.lit("'><ArticleTitle>第"), x("article_number"), F.lit("条</ArticleTitle><Paragraph Num='1'><ParagraphSentence><Sentence>"), first,
-        F.lit("</Sentence><Sentence>乙"), x("chapter"), F.lit("。</Sentence></ParagraphSentence>"), F.when(x("flag") == "A", item).otherwise(F.lit("")), F.lit("</Paragraph></Article>"),
-    )
-    body = held.groupBy("version_id").agg(F.sort_array(F.collect_list(F.struct("x", one.alias("xml")))).alias("all"))
-    body = body.select("version_id", F.array_join(F.transform("all", lambda r: r["xml"]), "").alias("body"))
+    body = held.select("version_id", F.array_join(F.transform("all", one), "").alias("body"))
     v = versions(spark, d).join(body, "version_id", "left")
     n = F.col("version_id")
     head = F.format_string("<Law Era='Heisei' Year='%d' Num='1' LawType='Act' PromulgateMonth='%d' PromulgateDay='%d'><LawNum>第%d号</LawNum><Note><b><LawRef>法%d</LawRef></b></Note><ArticleRef>第%d条</ArticleRef>", (n % 30 + 1).cast("int"), (n % 12 + 1).cast("int"), (n % 28 + 1).cast("int"), n, F.col("law_id"), (n % 9).cast("int"))
@@ -39,32 +40,28 @@ def _statutes(spark, d):
     return v.select(n.cast("string").alias("law_id"), F.concat(head, main).alias("xml"))
 
 
-def _law(spark, d):
-    return statutes.parse_laws(_statutes(spark, d))
-
-
 _IN_ORDER = f"row_number() OVER (PARTITION BY version_id ORDER BY {', '.join(_PLACE[:4])}, length::INT)::INT"
 _CONTENT = "CASE WHEN flag = 'R' THEN '削除' ELSE '甲' || node_id || '。' END || chr(10) || '乙' || chapter || '。'"
 
 
 @query(T("SELECT version_id::VARCHAR AS law_id, '法' || version_id AS title, '第' || version_id || '号' AS law_number, 'Act' AS law_type, make_date((1988 + version_id % 30 + 1)::BIGINT, (version_id % 12 + 1)::BIGINT, (version_id % 28 + 1)::BIGINT)::VARCHAR AS promulgated FROM versions", "versions"))
 def s01_law_heads(spark, d):
-    return statutes.law_heads(_law(spark, d)).drop("enact_statements").withColumn("promulgated", F.col("promulgated").cast("string"))
+    return statutes.law_heads(statutes.parse_laws(_statutes(spark, d), schema=statutes.HEAD_SCHEMA)).drop("enact_statements").withColumn("promulgated", F.col("promulgated").cast("string"))
 
 
 @query(T(f"SELECT version_id::VARCHAR AS law_id, article_number::VARCHAR AS article_number, '第' || article_number || '条' AS article_title, '第' || (version_id % 9) || '章' AS chapter, {_CONTENT} AS content, flag = 'R' AS is_deleted, {_IN_ORDER} AS sort_order FROM articles", "articles"))
 def s03_articles(spark, d):
-    return statutes.articles(_law(spark, d)).select("law_id", "article_number", "article_title", "chapter", "content", "is_deleted", "sort_order")
+    return statutes.articles_of(_statutes(spark, d), paragraphs=False).select("law_id", "article_number", "article_title", "chapter", "content", "is_deleted", "sort_order")
 
 
 @query(T(f"SELECT version_id::VARCHAR AS law_id, article_number::VARCHAR AS article_number, 1 AS paragraph_number, {_CONTENT} AS content FROM articles", "articles"))
 def s04_paragraphs(spark, d):
-    return statutes.paragraphs(statutes.articles(_law(spark, d))).select("law_id", "article_number", "paragraph_number", "content")
+    return statutes.paragraphs(statutes.articles_of(_statutes(spark, d))).select("law_id", "article_number", "paragraph_number", "content")
 
 
 @query(T("SELECT version_id::VARCHAR AS law_id, article_number::VARCHAR AS article_number, 1 AS level, '一' AS titles, '丙' || length::INT AS content FROM articles WHERE flag = 'A' UNION ALL SELECT version_id::VARCHAR, article_number::VARCHAR, 2, '一/イ', '丁' || chapter FROM articles WHERE flag = 'A'", "articles"))
 def s05_items(spark, d):
-    found = statutes.items(statutes.paragraphs(statutes.articles(_law(spark, d))))
+    found = statutes.items(statutes.paragraphs(statutes.articles_of(_statutes(spark, d))))
     return found.select("law_id", "article_number", "level", F.array_join("titles", "/").alias("titles"), "content")
 
 

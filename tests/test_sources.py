@@ -71,3 +71,40 @@ def test_windowed_counts(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(n) from windowed").first()[0] == spark.read.parquet(folder).count()
+
+
+ODD = """<Law><LawBody><LawTitle>法</LawTitle><MainProvision>
+<Article Num="9"><ArticleTitle>第九条</ArticleTitle><Paragraph Num="1"><ParagraphSentence><Sentence>甲&amp;乙</Sentence><Sentence/></ParagraphSentence></Paragraph></Article>
+<Part><PartTitle>第一編</PartTitle><Article Num="1" Delete="true"/><Chapter><ChapterTitle>第一章</ChapterTitle><Section><SectionTitle>第一節</SectionTitle><Article Num="3"><Paragraph/></Article></Section><Article Num="2"><ArticleTitle>x</ArticleTitle><ArticleTitle> 二<b>y</b> </ArticleTitle><ArticleCaption/></Article></Chapter></Part>
+<Part><PartTitle>第二編</PartTitle><Article Num="4"/></Part><Chapter><Article Num="5"><Paragraph><Item Num="1"><ItemTitle>一</ItemTitle></Item></Paragraph><Paragraph Num="2"/></Article></Chapter>
+</MainProvision><SupplProvision/><SupplProvision><Article Num="1"><ArticleTitle>a</ArticleTitle></Article></SupplProvision></LawBody></Law>"""
+
+
+def test_articles_of_text_are_those_of_parsed_laws(spark):
+    df = spark.createDataFrame([("A", XML.split("?>")[1]), ("B", ODD), ("C", None), ("D", "<Law><LawBody>"), ("E", "<Law/>")], "law_id string, xml string")
+    cols = ["law_id", "sort_order", "article_number", "article_title", "caption", "part", "chapter", "section", "content", "is_deleted", "paragraphs"]
+    theirs, ours = (a.select(*cols).orderBy("law_id", "sort_order").collect() for a in (statutes.articles(statutes.parse_laws(df)), statutes.articles_of(df)))
+    assert ours == theirs
+    assert [r["article_number"] for r in ours if r["law_id"] == "B"] == ["9", "1", "2", "3", "4", "5", "1"]
+    assert statutes.articles_of(df, paragraphs=False).columns == [c for c in statutes.articles_of(df).columns if c != "paragraphs"]
+
+
+def test_laws_are_parsed_once(spark):
+    df = spark.createDataFrame([("A", ODD)], "law_id string, xml string")
+    plan = statutes.articles(statutes.parse_laws(df))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_xml") == 1 and "Window" not in plan
+    below = statutes.items(statutes.paragraphs(statutes.articles_of(df)))._jdf.queryExecution().executedPlan().toString()
+    assert below.count("MapInArrow") == 1 and "Union" not in below
+    assert "from_xml" not in statutes.embedded_references(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_embedded_references_are_those_of_xpath(spark):
+    tags = ("LawRef", "ArticleRef", "ParagraphRef", "ItemRef", "ReferenceToLaw", "ReferenceToArticle", "Ref")
+    odd = "<a><LawRef>民<!-- -->法<b>x<Ref> y&lt;</Ref></b>z</LawRef><Ref/><ItemRef>q&#65;<?pi x?>r</ItemRef><LawRefs>n</LawRefs><ArticleRef>\n</ArticleRef></a>"
+    df = spark.createDataFrame([("A", odd), ("B", None), ("C", ""), ("D", "<Ref>top</Ref>")], "law_id string, xml string")
+    wanted = [(r["law_id"], t, x) for t in tags for r in df.selectExpr("law_id", f"xpath(xml, '//{t}/text()') as x").collect() for x in r["x"] or ()]
+    found = statutes.embedded_references(df)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert statutes.embedded_references(df.selectExpr("law_id", "'<Ref><![CDATA[<q>]]>r</Ref>' as xml")).first()["text"] == "<q>r"
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Union" not in plan
