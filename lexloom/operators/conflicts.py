@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def containment_maximal(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Spans that lie in no other span; of equal spans the one of least seq. One sort by document, no self-join."""
+def containment_maximal(spans: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
+    """Spans that lie in no other span of their key; of equal spans the one of least seq. One sort by document, no self-join."""
     w = Window.partitionBy(key).orderBy("start", F.desc("end"), "seq").rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("_reach", F.max("end").over(w)).where(F.col("_reach").isNull() | (F.col("end") > F.col("_reach"))).drop("_reach")
 

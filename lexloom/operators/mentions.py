@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,46 +28,66 @@ MEMBER = "list int, member int, members int, start int, end int, text string, la
 def find_names(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", names_a_shard: int = 100_000) -> DataFrame:
     """(key, start, end, name): the occurrences of dictionary names that lie within no longer one's.
 
-    ``dictionary``: name. Names are dealt to shards of about ``names_a_shard`` by hash; each shard is a broadcast from which tasks
-    build one automaton, so that a text is passed over once for each shard, however many names there are. Offsets are code
-    points, end exclusive. Null texts have none; rows that share a key must share the text.
+    ``dictionary``: name. Up to ``names_a_shard`` names are a broadcast from which tasks build one automaton. Of more names, tasks
+    only know the different shapes (first and last character, length); what has the shape of a name is joined with the
+    names, so that a text is passed over once however many there are. Offsets are code points, end exclusive. Null texts
+    have none; rows that share a key must share the text.
     """
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     names = dictionary.select("name").where("name != ''").distinct()
-    shards = max(1, -(-names.count() // names_a_shard))
-
-    def shard(i: int) -> DataFrame:
-        held = spark.sparkContext.broadcast([r.name for r in names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == i).toLocalIterator()])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            trie = ahocorasick.Automaton()
-            for name in held.value:
-                trie.add_word(name, name)
-            trie.make_automaton()
-            for batch in batches:
-                at, rows = [], []
-                for i, t in enumerate(batch.column(text).to_pylist()):
-                    if not t or not held.value:
-                        continue
-                    found = sorted(((end + 1 - len(name), end + 1, name) for end, name in trie.iter(t)), key=lambda s: (s[0], -s[1]))
-                    reach = -1
-                    for start, end, name in found:
-                        if end > reach:
-                            rows.append((start, end, name))
-                            at.append(i)
-                            reach = end
-                kept = batch.column(key).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([kept, *[pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int32(), pa.int32(), pa.string()))]], names=[key, "start", "end", "name"])
-
-        return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, start int, end int, name string")
-
-    found = shard(0)
-    for i in range(1, shards):
-        found = found.unionByName(shard(i))
-    # a name of one shard may lie within a name of another
-    return found if shards == 1 else containment_maximal(found.withColumn("seq", F.lit(0)), key).drop("seq")
+    few = names.count() <= names_a_shard
+    if few:
+        held = spark.sparkContext.broadcast([r.name for r in names.toLocalIterator()])
+    else:
+        shapes: dict[str, dict[int, set[str]]] = {}
+        for r in names.select(F.substring("name", 1, 1).alias("first"), F.substring("name", -1, 1).alias("last"), F.length("name").alias("n")).distinct().toLocalIterator():
+            shapes.setdefault(r["last"], {}).setdefault(r["n"], set()).add(r["first"])
+        held = spark.sparkContext.broadcast(shapes)
+
+    def by_automaton() -> Callable[[str], Iterator[tuple[int, int, str]]]:
+        import ahocorasick
+
+        trie = ahocorasick.Automaton()
+        for name in held.value:
+            trie.add_word(name, name)
+        trie.make_automaton()
+
+        def found(t: str) -> Iterator[tuple[int, int, str]]:
+            reach = -1
+            for start, end, name in sorted(((end + 1 - len(name), end + 1, name) for end, name in trie.iter(t)), key=lambda s: (s[0], -s[1])) if held.value else ():
+                if end > reach:
+                    yield start, end, name
+                    reach = end
+
+        return found
+
+    def by_shape() -> Callable[[str], Iterator[tuple[int, int, str]]]:
+        shapes = held.value
+
+        def found(t: str) -> Iterator[tuple[int, int, str]]:
+            for end, c in enumerate(t, 1):
+                for n, firsts in shapes.get(c, {}).items():
+                    if n <= end and t[end - n] in firsts:
+                        yield end - n, end, t[end - n : end]
+
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = by_automaton() if few else by_shape()
+        for batch in batches:
+            at, rows = [], []
+            for i, t in enumerate(batch.column(text).to_pylist()):
+                found = list(find(t)) if t else []
+                rows += found
+                at += [i] * len(found)
+            kept = batch.column(key).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept, *[pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int32(), pa.int32(), pa.string()))]], names=[key, "start", "end", "name"])
+
+    found = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, start int, end int, name string")
+    if few:
+        return found
+    # what has the shape of a name may be none, so names are told apart before longer ones swallow shorter ones
+    return containment_maximal(found.join(names, "name").select(key, "start", "end", "name").withColumn("seq", F.lit(0)), key).drop("seq")
 
 
 def defined_term_citations(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", reach: int | None = None) -> DataFrame:

@@ -38,6 +38,9 @@ def settled(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 def compare_versions(docs: DataFrame, table: DataFrame, first: str, second: str, key: str = "doc_id") -> DataFrame:
     """(key, start, end, type, status): spans that both versions settle on, or only the first or second."""
     at = [key, "start", "end", "type"]
-    side = lambda version, flag: settled(collected(docs.select(key, "text"), table, version), key).select(*at).distinct().withColumn(flag, F.lit(True))
-    both = side(first, "_a").join(side(second, "_b"), at, "full_outer")
-    return both.select(*at, F.when(F.col("_a") & F.col("_b"), "both").when(F.col("_a"), "first").otherwise("second").alias("status"))
+    texts = docs.select(key, "text")
+    found = collected(texts, table, first).unionByName(collected(texts, table, second)).select(*at, "seq", "version")
+    # one exchange, by document, serves the two windows and the comparison
+    kept = containment_maximal(found.repartition(F.col(key)), [key, "version"])
+    flags = [F.max(F.col("version") == v).alias(flag) for v, flag in ((first, "_a"), (second, "_b"))]
+    return kept.groupBy(*at).agg(*flags).select(*at, F.when(F.col("_a") & F.col("_b"), "both").when(F.col("_a"), "first").otherwise("second").alias("status"))

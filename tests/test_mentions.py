@@ -133,3 +133,21 @@ def test_rule_counts_match_equal_texts_once(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("HashAggregate", plan.index("MapInArrow")) > 0
+
+
+def test_many_names_take_one_pass_over_the_texts(spark):
+    names = spark.createDataFrame([(n,) for n in ("税法", "地方税法", "乙税法", "税", "法地", "民法", "長い長い名前の法")], "name string")
+    docs = spark.createDataFrame([(1, "特例地方税法と税法"), (2, None), (3, ""), (4, "民法地方税法"), (5, "長い長い名前の法、長い名前の法"), (6, "税法税")], "doc_id long, text string")
+    few, many = find_names(docs, names), find_names(docs, names, names_a_shard=1)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and few.count() > 6
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_versions_are_compared_in_one_exchange(spark):
+    from lexloom.operators.rulesets import compare_versions, rule_table
+
+    docs = spark.createDataFrame([(1, "民法第1条と第2条")], "doc_id long, text string")
+    found = compare_versions(docs, rule_table(spark), "statute", "baseline")
+    assert sorted((r["start"], r["status"]) for r in found.collect()) == [(0, "both"), (6, "both")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan
