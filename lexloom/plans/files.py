@@ -10,7 +10,7 @@ from lexloom.operators.rulesets import compare_versions, rule_table
 from lexloom.operators.tables import flat_references, replace_references
 from lexloom.plans.catalog import query
 from lexloom.plans.made import w
-from lexloom.sources.folders import new_path
+from lexloom.sources.folders import new_path, write_files
 from lexloom.sources.statutes import batch_results, law_list, law_list_named, page_of_files
 from lexloom.sources.tables import articles, edges, laws, versions, with_tables
 
@@ -22,7 +22,8 @@ def s07_page_of_files(spark, d):
     """One XML file for each law, and the page of eighty files from the forty-first on, by name."""
     path = new_path(spark, "statutes")
     number = F.lpad(F.col("law_id").cast("string"), 12, "0")
-    laws(spark, d).select(number.alias("law"), w('<Law Num="', F.col("law_id"), '"><LawTitle>', F.col("title"), "</LawTitle></Law>").alias("value")).repartition("law").write.partitionBy("law").text(path)
+    made = laws(spark, d).select(F.concat(number, F.lit(".xml")).alias("name"), w('<Law Num="', F.col("law_id"), '"><LawTitle>', F.col("title"), "</LawTitle></Law>").alias("value"))
+    write_files(made, path)
     page = page_of_files(spark, path, 40, 80)
     return page.select(F.regexp_extract("xml", 'Num="([0-9]+)"', 1).cast("long").alias("law_id"), F.regexp_extract("xml", "<LawTitle>(.*?)</LawTitle>", 1).alias("title"), "has_more", "next_offset")
 

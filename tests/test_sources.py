@@ -108,3 +108,15 @@ def test_embedded_references_are_those_of_xpath(spark):
     assert statutes.embedded_references(df.selectExpr("law_id", "'<Ref><![CDATA[<q>]]>r</Ref>' as xml")).first()["text"] == "<q>r"
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1 and "Union" not in plan
+
+
+def test_a_file_for_each_row_without_a_folder_each(spark, tmp_path):
+    from lexloom.sources.folders import write_files
+
+    rows = spark.createDataFrame([(f"{i:03}.xml", f"法{i}") for i in range(30)], "name string, value string")
+    for n, folder in enumerate((f"{tmp_path}/a b", f"file:{tmp_path}/c", f"file://{tmp_path}/d")):
+        write_files(rows, folder)
+        held = sorted((tmp_path / ("a b", "c", "d")[n]).iterdir())
+        assert [(f.name, f.read_text()) for f in held] == [(f"{i:03}.xml", f"法{i}") for i in range(30)]
+    page = statutes.page_of_files(spark, f"file:{tmp_path}/c", 10, 5)
+    assert sorted((r["xml"], r["has_more"]) for r in page.collect()) == [(f"法{i}", True) for i in range(10, 15)]
