@@ -290,6 +290,36 @@ def test_nine_in_ten_short_lines_with_two_typing_errors_are_found(spark):
     assert ld.line_dedup(frame(spark, docs)).where("lines_gone > 0").count() >= 225
 
 
+@pytest.mark.parametrize("cell", [5, 512])
+def test_all_pairs_of_a_block_meet_whatever_its_size(spark, monkeypatch, cell):
+    """Crowded blocks, in cells or as they are, and groups larger than a cell: just the pairs of different groups, each once."""
+    monkeypatch.setattr(ld, "CELL", cell)
+    rng = random.Random(3)
+    rows = [(key, line, 90 + line % 20, line % 7 if line % 3 else line) for key, size in ((1, 120), (2, 40), (3, 3), (4, 1)) for line in rng.sample(range(-150, 150), size)]
+    rows += [(5, line, 90 + line % 20, 9) for line in range(30)] + [(5, 77, 90 + 77 % 20, 8)]
+    want = {}
+    for key, a, n, g in rows:
+        for other, b, m, h in rows:
+            if key == other and a < b and g != h and abs(n - m) <= 0.1 * max(n, m) + 0.001:
+                want[a, b] = (want.get((a, b), (0,))[0] + 1, max(n, m))
+    state = spark.createDataFrame(rows, "key long, line long, n_chars int, grp long")
+    got = {(r["a"], r["b"]): (r["n"], r["chars"]) for r in ld.met(state, 0.9).collect()}
+    assert got == want and len(want) > 1000
+
+
+def test_close_lines_that_share_nothing_but_what_a_crowd_shares(spark):
+    """200 lines of one template, of which two and two are close, with no rare word pair in common."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6))
+    docs = []
+    for i in range(100):
+        w = [word() for _ in range(5)]
+        v = [x[:-1] + "y" if j % 2 == 0 else x for j, x in enumerate(w)]
+        docs += [(2 * i, " ".join(["a of the in to it is on at by", *w])), (2 * i + 1, " ".join(["a of the in to it is on at by", *v]))]
+    got = {r["doc_id"]: r["lines_gone"] for r in ld.line_dedup(frame(spark, docs)).collect()}
+    assert [got[i] for i in range(200)] == [0, 1] * 100
+
+
 def test_components_write_one_table(spark):
     from lexloom.llm.common import Scratch
 
