@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Edge types by the flag of the row an edge comes from.
 EDGE_TYPES = {"A": "APPLIES", "N": "REFERENCES", "R": "REPLACES"}
+#: About so many mentions go to one task where edges are made of them.
+MENTIONS_A_TASK = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +36,20 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each (src, dst, rel_type): the strongest confidence, the first position, how many mentions."""
+    """One row for each (src, dst, rel_type): the strongest confidence, the first position, how many mentions.
+
+    The mentions are dealt by ``src`` before they are grouped: hardly any two share a group, so grouping them in the tasks that
+    read them would hold a whole file split in memory. The number of tasks follows the rows, so that none grows with the table.
+    """
     i = read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_returnflag", "l_discount", "l_quantity")
     count = read(spark, sf_dir, "part").agg(F.count("*").alias("n"))
+    tasks = max(i.count() // MENTIONS_A_TASK + 1, spark.sparkContext.defaultParallelism)
     kind = F.create_map(*[F.lit(x) for kv in EDGE_TYPES.items() for x in kv])
     # the one-row count is a scalar, so joining it multiplies nothing
     return (
         i.join(F.broadcast(count))
         .select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") % F.col("n")).alias("dst"), kind[F.col("l_returnflag")].alias("rel_type"), F.round(0.5 + 5 * F.col("l_discount"), 2).alias("c"), "l_quantity")
+        .repartition(tasks, "src")
         .groupBy("src", "dst", "rel_type")
         .agg(F.max("c").alias("confidence"), F.min("l_quantity").alias("position"), F.count("*").alias("mentions"))
     )

@@ -120,3 +120,19 @@ def test_a_file_for_each_row_without_a_folder_each(spark, tmp_path):
         assert [(f.name, f.read_text()) for f in held] == [(f"{i:03}.xml", f"法{i}") for i in range(30)]
     page = statutes.page_of_files(spark, f"file:{tmp_path}/c", 10, 5)
     assert sorted((r["xml"], r["has_more"]) for r in page.collect()) == [(f"法{i}", True) for i in range(10, 15)]
+
+
+def test_mentions_are_dealt_once_to_tasks_that_follow_their_number(spark, monkeypatch):
+    """The heat map groups nothing before the one exchange of its mentions, and a larger table gets more tasks, not larger ones."""
+    from lexloom.plans.relational import a27_heat_map
+    from lexloom.sources import tables
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(tables, "MENTIONS_A_TASK", 500)
+    heat = a27_heat_map(spark, folder)
+    heat.collect()
+    plan = heat._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    tasks = spark.read.parquet(f"{folder}/lineitem.parquet").count() // 500 + 1
+    assert tasks > 10 and plan.count("hashpartitioning(") == 1 and "hashpartitioning(src#" in plan
+    assert tables.edges(spark, folder).rdd.getNumPartitions() == tasks
+    assert "HashAggregate" not in plan[plan.index("hashpartitioning(src#") :].split("BroadcastNestedLoopJoin")[0]
