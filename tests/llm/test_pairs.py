@@ -327,3 +327,33 @@ def test_components_write_one_table(spark):
     assert components(spark.createDataFrame([], "a long, b long"), scratch=scratch).count() == 0
     assert len(scratch.paths) == 1
     scratch.drop()
+
+
+def test_letters_rule_out_pairs_before_their_texts_are_read(spark):
+    """Counts of letters lose no alike pair, and of short lines that share a block most that are not alike."""
+    rng = random.Random(41)
+    vocabulary = ["".join(rng.choice("etaoinshrdluäß") for _ in range(rng.randrange(2, 8))) for _ in range(80)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(10)) for _ in range(60)]
+    texts += ["".join(rng.choice("xyz") if rng.random() < 0.1 else c for c in t) for t in texts[:30]]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line long, norm string")
+    state = lines.select(F.lit(1).alias("key"), "line", F.length("norm").alias("n_chars"), F.col("line").alias("grp"), ld.letters_of("norm").alias("letters"))
+    got = {(r["a"], r["b"]) for r in ld.met(state, 0.8).collect()}
+    before = {(r["a"], r["b"]) for r in ld.met(state.drop("letters"), 0.8).collect()}
+    text = lambda s: lines.select(F.col("line").alias(s), F.col("norm").alias(f"norm_{s}"))
+    near = text("a").join(text("b"), F.expr("a < b and levenshtein(norm_a, norm_b) <= floor(0.2 * greatest(length(norm_a), length(norm_b)) + 0.001)"))
+    near = {(r["a"], r["b"]) for r in near.collect()}
+    assert len(near) >= 25 and near <= got and len(got) < 0.6 * len(before)
+
+
+def test_pieces_accept_what_words_do_not(spark):
+    """A long line of which every ninth word is another one is alike by its pieces; pieces join to the line they are of."""
+    rng = random.Random(42)
+    word = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    a = [word(rng.randrange(2, 8)) for _ in range(300)] + ["a" + word(19)]
+    b = [word(len(w)) if i % 9 == 3 else w for i, w in enumerate(a)]
+    texts = [" ".join(a), " ".join(b), "ลูกค้า 中文字 x", "a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").select("a", ld.word_codes("a").alias("c"), ld.longest_word("a").alias("n"), ld.pieces_of("a").alias("p")).collect()
+    assert all("".join(r["p"]) == r["a"] and len(r["c"]) == len(r["p"]) for r in rows) and rows[0]["n"] == 3
+    edits = spark.createDataFrame([(rows[0]["c"], rows[1]["c"])], "a string, b string").select(F.levenshtein("a", "b")).first()[0]
+    few = int(0.2 * len(texts[0])) // 4
+    assert edits <= few - 2 - few // 16
