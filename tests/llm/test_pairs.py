@@ -357,3 +357,41 @@ def test_pieces_accept_what_words_do_not(spark):
     edits = spark.createDataFrame([(rows[0]["c"], rows[1]["c"])], "a string, b string").select(F.levenshtein("a", "b")).first()[0]
     few = int(0.2 * len(texts[0])) // 4
     assert edits <= few - 2 - few // 16
+
+
+def test_lines_of_a_crowd_make_no_rows_of_pairs_that_are_not_alike(spark, monkeypatch):
+    """70 lines with one long passage and different rests, some of which are alike: as brute force has it, and no table of all pairs."""
+    from lexloom.llm.common import Scratch
+
+    rng = random.Random(51)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(5))
+    passage = " ".join(word() for _ in range(14))
+    docs = [(i, f"{' '.join(word() for _ in range(5))} {passage} {' '.join(word() for _ in range(rng.choice((0, 3))))}") for i in range(60)]
+    docs += [(60 + i, t.replace(t[:3], "aei", 1)) for i, (_, t) in enumerate(docs[:10])]
+    sizes, write = {}, Scratch.write
+    monkeypatch.setattr(ld, "CELL", 30)
+    monkeypatch.setattr(ld, "CROWD", 20)
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    want, n = plain_lines(docs)
+    assert 10 <= n < 200
+    assert {r["doc_id"]: r["text"] for r in ld.line_dedup(frame(spark, docs)).collect()} == want
+    assert all(sizes[name] < 10 * len(docs) for name in ("line-pairs", "line-links", "edges"))
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    from lexloom.llm.common import SHUFFLES_GO, Scratch
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {n for n in (blocks.getAllBlocks().apply(i).name() for i in range(blocks.getAllBlocks().size())) if n.startswith("shuffle_")}
+    before, scratch = names(), Scratch(spark)
+    table = scratch.write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert not names() - before
+    assert spark.conf.get(SHUFFLES_GO) == "false"
+    assert table.count() == 7
+    scratch.drop()
