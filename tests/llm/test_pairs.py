@@ -395,3 +395,35 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
     assert spark.conf.get(SHUFFLES_GO) == "false"
     assert table.count() == 7
     scratch.drop()
+
+
+def test_texts_of_lines_go_to_their_blocks_in_passes(spark, monkeypatch, tmp_path):
+    """Lines in many blocks: no join carries more texts than there are lines, nor is a text kept twice; the result is brute force's."""
+    from lexloom.llm.common import Scratch
+
+    rng = random.Random(61)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(5))
+    passages = [" ".join(word() for _ in range(16)) for _ in range(6)]
+    docs = [(i, f"{' '.join(word() for _ in range(9))} {rng.choice(passages)}") for i in range(60)]
+    docs += [(60 + i, t.replace(t[:3], "aei", 1)) for i, (_, t) in enumerate(docs[:12])]
+    monkeypatch.setattr(ld, "CROWD", 20)
+    monkeypatch.setattr(ld, "ROWS_A_PASS", 1, raising=False)
+    carried, left, cells, write = [], [], ld.in_cells, Scratch.write
+
+    def in_cells(here, seen, close):
+        carried.append(here.count())
+        return cells(here, seen, close)
+
+    def written(self, df, name):
+        out = write(self, df, name)
+        if name == "line-groups":
+            left.extend(p.name.rsplit("-", 1)[0] for p in tmp_path.glob("line-*") if "norm" in spark.read.parquet(str(p)).columns)
+        return out
+
+    monkeypatch.setattr(ld, "in_cells", in_cells)
+    monkeypatch.setattr(Scratch, "write", written)
+    monkeypatch.setattr("lexloom.llm.common.shared_dir", lambda _: str(tmp_path))
+    got = {r["doc_id"]: r["text"] for r in ld.line_dedup(frame(spark, docs)).collect()}
+    assert got == plain_lines(docs)[0]
+    assert len(carried) > 3 and max(carried) <= 2 * len(docs)
+    assert left == ["line-table"]
