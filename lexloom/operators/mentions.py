@@ -33,8 +33,21 @@ def find_names(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text
     names, so that a text is passed over once however many there are. Offsets are code points, end exclusive. Null texts
     have none; rows that share a key must share the text.
     """
-    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     names = dictionary.select("name").where("name != ''").distinct()
+    found, exact = name_places(docs, names, key, text, names_a_shard)
+    if exact:
+        return found
+    # what has the shape of a name may be none, so names are told apart before longer ones swallow shorter ones
+    return containment_maximal(found.join(names, "name").select(key, "start", "end", "name").withColumn("seq", F.lit(0)), key).drop("seq")
+
+
+def name_places(docs: DataFrame, names: DataFrame, key: str, text: str = "text", names_a_shard: int = 100_000) -> tuple[DataFrame, bool]:
+    """(key, start, end, name) by one pass over the texts, and whether these are the names of ``find_names``.
+
+    Otherwise they are all that has the shape of a name: what is no name is still among them, and what lies within a longer
+    name. ``names``: the different names.
+    """
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     few = names.count() <= names_a_shard
     if few:
         held = spark.sparkContext.broadcast([r.name for r in names.toLocalIterator()])
@@ -83,11 +96,7 @@ def find_names(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text
             kept = batch.column(key).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept, *[pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int32(), pa.int32(), pa.string()))]], names=[key, "start", "end", "name"])
 
-    found = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, start int, end int, name string")
-    if few:
-        return found
-    # what has the shape of a name may be none, so names are told apart before longer ones swallow shorter ones
-    return containment_maximal(found.join(names, "name").select(key, "start", "end", "name").withColumn("seq", F.lit(0)), key).drop("seq")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, start int, end int, name string"), few
 
 
 def defined_term_citations(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", reach: int | None = None) -> DataFrame:
@@ -172,15 +181,15 @@ def lists_in(text: str) -> Iterator[list[tuple]]:
             yield out
 
 
-def enumerations(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int | None = None) -> DataFrame:
+def enumerations(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each member of each list of citations: key, ``list``, ``member`` (from 1), ``members``, place, and what is cited.
 
     ``law_name`` is the text before the list's or member's first article up to 法, which may begin with other words (its end
     is ``law_end``); law, article and paragraph are inherited along the list (``own_law``, ``own_article`` tell whether the member
-    names them). ``to_...`` is the end of a range, ``context`` the text ``reach`` characters around the member. Null and empty texts have no lists; other columns aren't carried.
+    names them). ``to_...`` is the end of a range, ``context`` the text ``reach`` characters around the member. Null and empty texts have no lists; of other columns those of ``keep`` are carried.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    fields = T._parse_datatype_string(f"`{key}` {kind}, {MEMBER}")
+    carried = [key, *keep]
+    fields = T._parse_datatype_string(", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried] + [MEMBER]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(fields)
@@ -190,7 +199,8 @@ def enumerations(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
                 for n, members in enumerate(lists_in(t or ""), 1):
                     rows += [(n, j, len(members), *m, _around(t, *m[:2], reach)) for j, m in enumerate(members, 1)]
                     at += [i] * len(members)
-            kept = batch.column(key).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept, *[pa.array([r[j] for r in rows], f.type) for j, f in enumerate(list(schema)[1:])]], schema=schema)
+            take = pa.array(at, pa.int64())
+            kept = [batch.column(c).take(take) for c in carried]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array([r[j] for r in rows], f.type) for j, f in enumerate(list(schema)[len(kept) :])]], schema=schema)
 
-    return docs.select(key, text).mapInArrow(run, fields)
+    return docs.select(*carried, text).mapInArrow(run, fields)

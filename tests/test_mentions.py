@@ -151,3 +151,22 @@ def test_versions_are_compared_in_one_exchange(spark):
     assert sorted((r["start"], r["status"]) for r in found.collect()) == [(0, "both"), (6, "both")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan
+
+
+def test_mentions_are_dealt_by_document_once_and_without_contexts(spark, monkeypatch):
+    """One exchange by document serves all steps of the detector, of few names or many, and no context goes through it."""
+    docs = spark.createDataFrame(
+        [(1, "旧" + "長" * 40 + "民法第1条及び第2条、税法第3条を見る。同法第四条", None, None, "5", 1), (2, "特例地方税法第7条、第8条、次条", 3, "試験法", "5", 1), (3, "旧民法第1条、第2条", None, None, None, None), (4, None, None, None, None, None)],
+        "doc_id int, text string, law_id long, law_name string, article string, paragraph int",
+    )
+    names = spark.createDataFrame([("民法", 1), ("税法", 2), ("地方税法", 3)], "name string, law_id long")
+    few = sp.detect(docs, names)
+    places = getattr(sp, "name_places", find_names)
+    monkeypatch.setattr(sp, places.__name__, lambda *a, **how: places(*a, **how | {"names_a_shard": 1}))
+    many = sp.detect(docs, names)
+    got = sorted(map(tuple, few.select("doc_id", "start", "text", "target_law_id", "target_article").collect()))
+    assert got == sorted(map(tuple, many.select("doc_id", "start", "text", "target_law_id", "target_article").collect()))
+    assert [(i, text) for i, _, text, *_ in got] == [(1, "民法第1条"), (1, "第2条"), (1, "税法第3条"), (1, "同法第四条"), (2, "地方税法第7条"), (2, "第8条"), (2, "次条")]
+    for found in (few, many):
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("hashpartitioning(doc_id") == 1
